@@ -65,7 +65,10 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], values: list[str
     packed = groups.select(*keys, F.col(count).alias("__n"), F.struct(*values).alias("__v"))
     is_hot = F.col("__n") * HOT_KEYS >= total
     hot = packed.where(is_hot).select(*keys, F.col("__v").alias("__hot"))
-    cold = packed.where(~is_hot).select(*keys, F.lit(0).cast("long").alias("__s"), F.col("__v").alias("__cold"))
+    # 0, but not a literal: a constant would be folded into the join condition,
+    # and rows would be dealt by keys alone
+    zero = F.when(F.col("__n") < 0, 1).otherwise(0).cast("long")
+    cold = packed.where(~is_hot).select(*keys, zero.alias("__s"), F.col("__v").alias("__cold"))
     out = (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn("__s", F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*spread).bitwiseOR(F.lit(1).cast("long"))))
