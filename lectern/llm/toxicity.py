@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 #: Labelled documents that the model is fitted on at most, by smallest hash.
-SAMPLE = 6000
+SAMPLE = 5000
 #: Longest text, in characters, in that sample (scoring has no limit).
-SAMPLE_CHARS = 50_000
+SAMPLE_CHARS = 20_000
 #: Features kept, those that separate the labelled documents best.
 FEATURES = 4096
 PREFIXES = (4, 5, 6)
@@ -76,7 +76,7 @@ class Model:
         return 1 - clean, spans
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5, decay: float = 1e-2) -> Model:
     """Noisy-or multiple-instance logistic model, by gradient ascent.
 
     A sentence's gradient is its share of the document's probability, so a
@@ -85,20 +85,20 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5
     toxic = sum(labels)
     if not toxic or toxic == len(labels):
         return Model({}, -8.0, toxic / len(labels) if labels else 0.0)
-    in_one, in_all = Counter(), Counter()
-    bags = [[words(s) for s in SENTENCE.findall(t)] for t in texts]
-    for bag, label in zip(bags, labels, strict=True):
-        found = {f for s in bag for w in s for f in features(w)}
-        in_all.update(found)
+    in_one, clean = Counter(), Counter()
+    for t, label in zip(texts, labels, strict=True):
         if label:
-            in_one.update(found)
-    odds = {f: math.log((n + 0.1) / (toxic + 0.2)) - math.log((in_all[f] - n + 0.5) / (len(labels) - toxic + 1)) for f, n in in_one.items() if n >= 3}
-    chosen = sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-in_one[f] * odds[f], f))[:FEATURES]
+            in_one.update({f for w in set(words(t)) for f in features(w)})
+    for t, label in zip(texts, labels, strict=True):
+        if not label:
+            clean.update({f for w in set(words(t)) for f in features(w) if f in in_one})
+    odds = {f: math.log((n + 0.1) / (toxic + 0.2)) - math.log((clean[f] + 0.5) / (len(labels) - toxic + 1)) for f, n in in_one.items() if n >= 4}
+    chosen = sorted((f for f in odds if odds[f] > 2), key=lambda f: (-in_one[f] * odds[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
     feature, sentence, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            if hit := {place[f] for w in s for f in features(w) if f in place}:
+    for d, t in enumerate(texts):
+        for s in SENTENCE.findall(t):
+            if hit := {place[f] for w in words(s) for f in features(w) if f in place}:
                 feature += hit
                 sentence += [len(owner)] * len(hit)
                 owner.append(d)
