@@ -63,10 +63,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = sharding.shard(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return placed.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = sharding.shard(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ low_first AS (SELECT *, list_transform(range(1, len(h) + 1), lambda i: h[CASE WH
 summed AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(x, lambda c: c::BIGINT)), lambda crc, c: xor(crc >> 4, ({crc_table}::BIGINT[])[xor(crc, c) % 16 + 1])), 4294967295::BIGINT) END AS crc FROM low_first),
 placed AS (SELECT *, (-{score(SHARDS)})::INTEGER AS shard, (-{score(SHARDS + 1)})::INTEGER AS grown_shard FROM summed)
 SELECT doc_id, (strlen(text) + 8)::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY md5(k || '|' || crc), k, text) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k || '|' || crc), k, md5(text)) - 1 AS slot, grown_shard
 FROM placed
 """
 

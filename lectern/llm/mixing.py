@@ -104,7 +104,8 @@ def mix(docs: DataFrame, members: Column, weights_of, total: float | None = None
 
     Defined results: a null text has size 0; a null source is a source like any
     other; documents without members, or of size 0, are not taken beyond the
-    even copies; repeated rows count each, ties in the order by id and text; an
+    even copies; repeated rows count each, ties in the order by id, size
+    and a hash of the text; an
     empty table gives an empty table; an input column named like an output is
     replaced. The driver holds one row a pattern, none a document.
 
@@ -127,13 +128,13 @@ def mix(docs: DataFrame, members: Column, weights_of, total: float | None = None
     n = max(sum(x[2] for x in summed), 1)
     bits = max(0, math.ceil(math.log2(n / BUCKET_ROWS)))
     plan = docs.sparkSession.createDataFrame([(list(p), given[p] // max(size, 1), given[p] % max(size, 1)) for p, size in capacity.items()], "__q array<string>, __even bigint, __rest bigint")
-    rows = rows.withColumns({"__q": F.coalesce("__p", F.array().cast("array<string>")), "__o": order}).drop("__p")
+    rows = rows.withColumns({"__q": F.coalesce("__p", F.array().cast("array<string>")), "__o": order, "__x": F.xxhash64(quoted(text_col))}).drop("__p")
     rows = rows.withColumn("__b", F.shiftrightunsigned("__o", 64 - bits) if bits else F.lit(0).cast("long"))
     ahead = Window.partitionBy("__q").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("__q", "__b").agg(F.sum("size").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)))
     buckets = buckets.join(plan, "__q").select("__q", "__b", "__even", (F.col("__rest") - F.col("__before")).alias("__room"))
     alone = Window.partitionBy("__q", "__b")
-    ordered = alone.orderBy("__o", quoted(id_col), "size", quoted(text_col))
+    ordered = alone.orderBy("__o", quoted(id_col), "size", "__x")
     rows = rows.withColumn("__run", F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).join(buckets, ["__q", "__b"])
     fits = F.col("__run") <= F.col("__room")
     gap = F.col("__room") - F.coalesce(F.max(F.when(fits, F.col("__run"))).over(alone), F.lit(0))
@@ -143,4 +144,4 @@ def mix(docs: DataFrame, members: Column, weights_of, total: float | None = None
     rows = rows.withColumn("__first", F.row_number().over(largest))
     extra = F.when(F.col("__fits") | (filler & (F.col("__first") == 1)), 1).otherwise(0)
     out = rows.withColumn("copies", F.least(F.col("__even") + extra, F.lit(most).cast("long"))).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("__q", "__o", "__b", "__run", "__even", "__room", "__fits", "__gap", "__first"), report
+    return out.drop("__q", "__o", "__b", "__run", "__even", "__room", "__fits", "__gap", "__first", "__x"), report

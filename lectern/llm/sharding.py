@@ -49,9 +49,9 @@ def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = Non
     digits = max(1, math.ceil(math.log(max(1, rows.count() / (SLOT_ROWS * len(weights))), 16)))
     order = F.md5(F.concat(key, F.lit("|"), F.crc32(F.encode(text, "UTF-8")).cast("string")))
     rows = rows.withColumns({"shard": rendezvous(key, weights), "grown_shard": rendezvous(key, grown) if grown else F.lit(None).cast("int"), "__o": order})
-    rows = rows.withColumns({"__b": F.substring("__o", 1, digits), "__key": key})
+    rows = rows.withColumns({"__b": F.substring("__o", 1, digits), "__key": key, "__x": F.md5(text)})
     ahead = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select("shard", "__b", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__b").orderBy("__o", "__key", text)
-    return rows.withColumn("__r", F.row_number().over(within)).join(starts, ["shard", "__b"]).withColumn("slot", F.col("__start") + F.col("__r") - 1).drop("__o", "__b", "__key", "__start", "__r")
+    within = Window.partitionBy("shard", "__b").orderBy("__o", "__key", "__x")
+    return rows.withColumn("__r", F.row_number().over(within)).join(starts, ["shard", "__b"]).withColumn("slot", F.col("__start") + F.col("__r") - 1).drop("__o", "__b", "__key", "__x", "__start", "__r")

@@ -23,6 +23,9 @@ SAMPLE_CHARS = 20_000
 FEATURES = 4096
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
+#: A sentence's chance below this counts as none, else the many clean sentences
+#: of a long document add up.
+FLOOR = 0.06
 SENTENCE = re.compile(r"[^.!?\n]+")
 PUNCTUATION = "'\"()[]{}<>,;:*_-#%&$|/\\~`"
 
@@ -63,7 +66,8 @@ class Model:
         if evidence <= 0:
             return 0.0
         p = 1 / (1 + math.exp(-min(self.bias + evidence, 30)))
-        return (p - self.base) / (1 - self.base)
+        p = (p - self.base) / (1 - self.base)
+        return p if p >= FLOOR else 0.0
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The score and (start, end, score) of every sentence with evidence."""
@@ -92,8 +96,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5
     for t, label in zip(texts, labels, strict=True):
         if not label:
             clean.update({f for w in set(words(t)) for f in features(w) if f in in_one})
-    odds = {f: math.log((n + 0.1) / (toxic + 0.2)) - math.log((clean[f] + 0.5) / (len(labels) - toxic + 1)) for f, n in in_one.items() if n >= 4}
-    chosen = sorted((f for f in odds if odds[f] > 2), key=lambda f: (-in_one[f] * odds[f], f))[:FEATURES]
+    odds = {f: math.log((n + 0.1) / (toxic + 0.2)) - math.log((clean[f] + 0.5) / (len(labels) - toxic + 1)) for f, n in in_one.items() if n >= max(3, toxic / 100)}
+    chosen = sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-in_one[f] * odds[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
     feature, sentence, owner = [], [], []
     for d, t in enumerate(texts):
