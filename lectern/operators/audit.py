@@ -186,7 +186,7 @@ def dashes(c) -> Column:
 
 @rule(DOCUMENT, "M10")
 def metaphor(c) -> Column:
-    found = F.flatten(F.transform(F.filter(c["body"], lambda b: b["kind"] != "code"), lambda b: F.transform(lines_at(b["lines"], lambda x, _: T.matches(T.unquoted(x), C.METAPHOR)), lambda i: b["start"] + i)))
+    found = F.flatten(F.transform(F.filter(c["body"], lambda b: b["kind"] != "code"), lambda b: F.transform(lines_at(b["lines"], lambda x, _: x.rlike(C.METAPHOR) & T.matches(T.unquoted(x), C.METAPHOR)), lambda i: b["start"] + i)))
     return once("M10", F.size(found) > 0, F.get(found, F.lit(0)))
 
 
@@ -352,7 +352,11 @@ def per_phrase(code: str, phrases: list[str], column: str) -> None:
 
 
 def per_match(code: str, patterns: list[str]) -> None:
-    LINE[code] = lambda v, line, c: times(code, sum(T.count(v["open"], p) for p in patterns), line)
+    """Patterns with CJK text are only tried on lines that hold such text."""
+    chinese = [p for p in patterns if any(x > "\u2fff" for x in p)]
+    other = [p for p in patterns if p not in chinese]
+    n = lambda v, ps: sum((T.count(v["open"], p) for p in ps), F.lit(0))
+    LINE[code] = lambda v, line, c: times(code, F.when(v["han"], n(v, chinese)).otherwise(0) + n(v, other), line)
 
 
 occurrences("W4", C.BACK_REFERENCES)
@@ -366,7 +370,7 @@ per_phrase("M8", C.ROAD_SIGNS, "low")
 per_phrase("M9", C.JARGON, "low")
 LINE["C1"] = lambda v, line, c: once("C1", (c["lang"] == "zh") & T.matches(v["safe"], rf"[{C.CJK}][A-Za-z0-9]|[A-Za-z0-9][{C.CJK}]"), line)
 LINE["C2"] = lambda v, line, c: once("C2", (c["lang"] == "zh") & T.matches(v["safe"], rf"[{C.CJK}][,;:!?]|[{C.CJK}]\.(?![A-Za-z0-9])"), line)
-LINE["M2"] = lambda v, line, c: once("M2", T.matches(v["open"], C.ANAPHORA) & ~T.matches(v["open"], "[`（(/]"), line)
+LINE["M2"] = lambda v, line, c: once("M2", v["pairs"] & T.matches(v["open"], C.ANAPHORA) & ~T.matches(v["open"], "[`（(/]"), line)
 
 
 def link_rules(v, line, c) -> Column:
@@ -402,7 +406,7 @@ def audit(docs: DataFrame, level: int = 2, emoji: str = "none", strict_compat: b
         return F.coalesce(F.flatten(per), none())
 
     def linewise(b: Column) -> Column:
-        views = F.transform(b["lines"], lambda x: F.struct(x.alias("raw"), F.lower(T.strip_inline(x)).alias("plain"), T.protect(x).alias("safe"), T.unquoted(x).alias("open"), F.lower(T.unquoted(x)).alias("low")))
+        views = F.transform(b["lines"], lambda x: F.struct(x.alias("raw"), F.lower(T.strip_inline(x)).alias("plain"), T.protect(x).alias("safe"), T.unquoted(x).alias("open"), F.lower(T.unquoted(x)).alias("low"), T.matches(x, f"[{C.CJK}]").alias("han"), x.rlike("[，、]").alias("pairs")))
         rules = [*LINE.values()] + ([] if strict_compat else [link_rules])
         return F.when(b["kind"] == "code", none()).otherwise(F.flatten(F.transform(views, lambda v, i: F.concat(*[f(v, b["start"] + i, c) for f in rules]))))
 
@@ -414,4 +418,7 @@ def findings(audited: DataFrame) -> DataFrame:
     """doc_id, rule, line, axis, advisory: a row per finding."""
     axis = {r[0]: r[4] for r in map(str.split, C.RULES.strip().splitlines())} | dict.fromkeys([*C.GLOBAL_RULES, "M2", "M10"], "F") | {"M2": "C", "M10": "C"}
     table = F.create_map(*[F.lit(x) for kv in axis.items() for x in kv])
-    return audited.select("doc_id", F.inline("findings")).withColumns({"axis": F.coalesce(F.try_element_at(table, F.col("rule")), F.lit("?")), "advisory": F.col("rule").isin(*C.ADVISORY)})
+    # outer: else a filter on the array's size would be pushed through all the
+    # projections below, each time with its whole expression
+    rows = audited.select("doc_id", F.inline_outer("findings")).where(F.col("rule").isNotNull())
+    return rows.withColumns({"axis": F.coalesce(F.try_element_at(table, F.col("rule")), F.lit("?")), "advisory": F.col("rule").isin(*C.ADVISORY)})

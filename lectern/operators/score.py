@@ -37,7 +37,7 @@ def score(audited: DataFrame) -> DataFrame:
 def dim_scores(scores: DataFrame) -> DataFrame:
     """Long form: doc_id, dim, weight, score."""
     made = F.array(*[F.struct(F.lit(n).alias("dim"), F.lit(w).alias("weight"), F.col(n).alias("score")) for n, w in C.DIMENSIONS.items()])
-    return scores.select("doc_id", F.inline(made))
+    return scores.select("doc_id", F.inline_outer(made))
 
 
 def gate(scores: DataFrame, min_score: float) -> DataFrame:
