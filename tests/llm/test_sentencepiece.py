@@ -44,3 +44,24 @@ def test_products_are_associative():
 
 def test_empty():
     assert V.encode("") == [] and V.decode([]) == ""
+
+
+def test_native_lattice_equals_the_plain_one():
+    rng = random.Random(7)
+    for alphabet in ("abe th", "aéß\n中🚀 x", "  x\n", "<s>0xA▁ ", "<unk> ▁", "\x00\x01 a\t\r\x0b", "ing the of\n  "):
+        for _ in range(40):
+            text = " " + "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200)))
+            plain = [i for s in V.segment.findall(text) for i in V.back(s, V.forward(s, [0.0], len(s))[1], len(s))]
+            assert V.run(text) == plain
+
+
+def test_operator_on_nulls_repeats_and_giants(spark):
+    giant = "the ends of it, und größer\n" * 3000 + "x" * 20_000 + " 中 ▁" * 200
+    rows = [(1, None, 0), (2, "", 0), (2, "", 0), (None, "a b", 0), (3, giant, 0), (3, giant, 0), (4, "  \n", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids int").repartition(2)
+    got = S.decode(S.encode(docs, chunk=4096)).collect()
+    assert sorted((r["doc_id"] or 0, r["decoded"], r["n_chars"]) for r in got) == sorted((i or 0, t or "", len(t or "")) for i, t, _ in rows)
+    assert all(r["ids"] == [] for r in got if not r["decoded"])
+    best = total(V.encode(giant), giant)
+    assert [total(r["ids"], giant) for r in got if r["doc_id"] == 3] == [best, best]
+    assert S.decode(S.encode(docs.limit(0))).count() == 0
