@@ -26,7 +26,8 @@ from .common import checkpointed, quoted
 CHUNK = 16_384
 #: What an unknown character costs below the lowest score.
 UNKNOWN = 10.0
-KNOWN_SEGMENTS = 200_000
+#: Segments of up to 64 characters whose ids a worker remembers (0.2 GB at most).
+KNOWN_SEGMENTS = 600_000
 
 
 def default_model() -> str:
@@ -40,6 +41,7 @@ class Vocabulary:
 
     def __init__(self, model: bytes):
         import sentencepiece
+        from tokenizers.models import Unigram
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pieces: dict[str, tuple[int, float]] = {}
@@ -56,18 +58,27 @@ class Vocabulary:
             self.bytes.append(plain)
         self.longest = max(map(len, self.pieces), default=1)
         self.lowest = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN
+        self.begun = {p[:n] for p in self.pieces for n in range(1, len(p))}
         # No piece goes on past the end of a word, nor over a line feed, so the
         # lattice falls apart there; without that, a text is one segment.
         apart = not any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces)
         self.segment = re.compile(r" *[^ \n]+| +|\n" if apart else r"(?s).+")
         self.apart = apart
+        # The same lattice in native code, for segments. A name that no segment
+        # holds stands for unknown characters, which cost UNKNOWN there too.
+        self.lattice = Unigram([("\n\n", 0.0), *((p, x) for p, (_, x) in self.pieces.items())], 0, False) if apart else None
+        self.own = [-1, *(i for i, _ in self.pieces.values())]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, float] = {}
 
     def arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
         """(length, id, score) of the pieces at a place, shortest first; id -1
         for an unknown character."""
-        found = [(n, *p) for n in range(1, min(self.longest, len(text) - at) + 1) if (p := self.pieces.get(text[at : at + n]))]
+        found = []
+        for n in range(1, min(self.longest, len(text) - at) + 1):
+            if p := self.pieces.get(s := text[at : at + n]):
+                found.append((n, *p))
+            if s not in self.begun:
+                break
         return found if found and found[0][0] == 1 else [(1, -1, self.lowest), *found]
 
     def ids_of(self, text: str, at: int, length: int, piece: int) -> list[int]:
@@ -95,30 +106,32 @@ class Vocabulary:
         return [i for ids in reversed(out) for i in ids]
 
     def best(self, segment: str) -> tuple[int, ...]:
-        if (ids := self.known.get(segment)) is None:
-            score, via = self.forward(segment, [0.0], len(segment))
-            ids = tuple(self.back(segment, via, len(segment)))
-            if len(segment) <= 64:
-                if len(self.known) > KNOWN_SEGMENTS:
-                    self.known.clear()
-                    self.totals.clear()
-                self.known[segment], self.totals[segment] = ids, score[-1]
-        return ids
-
-    def total(self, segment: str) -> float:
-        self.best(segment)
-        if (t := self.totals.get(segment)) is None:
-            t = self.forward(segment, [0.0], len(segment))[0][-1]
-        return t
+        """Ids of a whole segment's best path; of equal ones, that with the
+        longest last piece."""
+        if self.lattice is None:
+            return tuple(self.back(segment, self.forward(segment, [0.0], len(segment))[1], len(segment)))
+        ids: list[int] = []
+        for t in self.lattice.tokenize(segment):
+            if t.id:
+                ids.append(self.own[t.id])
+            else:
+                ids += [self.of_byte[b] for b in t.value.encode()]
+        if len(segment) <= 64:
+            if len(self.known) >= KNOWN_SEGMENTS:
+                self.known.clear()
+            self.known[segment] = tuple(ids)
+        return tuple(ids)
+
+    def run(self, text: str) -> list[int]:
+        """Ids of whole segments."""
+        out, known, best = [], self.known, self.best
+        for s in self.segment.findall(text):
+            out += known.get(s) or best(s)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, begun by a space as the model does; none if empty."""
-        out: list[int] = []
-        if text:
-            known, best = self.known, self.best
-            for s in self.segment.findall(" " + text):
-                out.extend(known.get(s) or best(s))
-        return out
+        return self.run(" " + text) if text else []
 
     def decode(self, ids) -> str:
         table = self.bytes
@@ -133,10 +146,9 @@ class Vocabulary:
         piece goes over; (0, 0) if there are none."""
         if not self.apart:
             return 0, 0
-        places = [m.start() for m in self.segment.finditer(text) if self.longest <= m.start() <= size]
-        # a space run may have begun before the match that follows it
-        places = [p for p in places if text[p - 1] == "\n" or text[p : p + 1] == "\n" or (text[p - 1] != " " and text[p] == " ")]
-        return (places[0], places[-1]) if places else (0, 0)
+        apart = lambda p: text[p - 1] == "\n" or text[p : p + 1] == "\n" or (text[p - 1] != " " and text[p : p + 1] == " ")
+        first = next(filter(apart, range(self.longest, size + 1)), 0)
+        return first, first and next(filter(apart, range(size, first - 1, -1)))
 
     def reach(self, text: str, stop: int) -> np.ndarray:
         """Best scores at every place (rows) from every entry state (columns)."""
@@ -150,15 +162,16 @@ class Vocabulary:
         return score
 
     def transfer(self, text: str, size: int) -> np.ndarray:
-        """The max-plus matrix of a chunk: from entry state to exit state."""
+        """The max-plus matrix of a chunk, from entry state to exit state, up to
+        a constant, which moves no best path."""
         out = np.full((self.longest, self.longest), -np.inf)
         n = min(self.longest, len(text) - size + 1)
         first, last = self.cuts(text, size)
         if first:
-            # every path goes through first and last: an outer sum
-            middle = sum(map(self.total, self.segment.findall(text[first:last])))
+            # every path goes through first and last, and between them alike:
+            # an outer sum
             tail = self.forward(text[last:], [0.0], size - last)[0][size - last : size - last + n]
-            out[:, :n] = self.reach(text[:first], first)[first][:, None] + (middle + np.array(tail))[None, :]
+            out[:, :n] = self.reach(text[:first], first)[first][:, None] + np.array(tail)[None, :]
         else:
             out[:, :n] = self.reach(text, size)[size : size + n].T
             # places past the chunk are exits by an arc, not by entering there
@@ -172,9 +185,7 @@ class Vocabulary:
         if not first:
             return self.back(text, self.forward(text, [-np.inf] * entry + [0.0], size)[1], size + exit)
         out = self.back(text[:first], self.forward(text[:first], [-np.inf] * entry + [0.0], first)[1], first)
-        for s in self.segment.findall(text[first:last]):
-            out.extend(self.best(s))
-        return out + self.back(text[last:], self.forward(text[last:], [0.0], size - last)[1], size + exit - last)
+        return out + self.run(text[first:last]) + self.back(text[last:], self.forward(text[last:], [0.0], size - last)[1], size + exit - last)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,6 +317,6 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         vocabulary = _vocabulary(proto)
-        return ids.map(lambda x: None if x is None else vocabulary.decode(x))
+        return ids.map(lambda x: None if x is None else vocabulary.decode(x.tolist()))
 
     return encoded.withColumn("decoded", text(quoted(ids_col)))
