@@ -58,6 +58,46 @@ LABELLED = """
 3 100 40 0 4 100 0 1 0 0
 2 100 3 100 45 0 0 1 0 0
 60 0 5 0 3 100 0 1 0 1
+1 0 2 0 30 0 0 1 0 1
+4 0 0 0 1800 0 0 1 0 1
+282 0 3 0 4 0 0 1 0 1
+1800 0 3 0 5 0 0 1 0 1
+40 0 5 0 20 0 0 1 0 1
+15 0 1 0 45 0 0 1 0 1
+60 0 7 0 10 0 0 1 0 1
+3 0 300 0 4 0 0 1 0 1
+250 0 4 0 300 0 0 1 0 1
+12 0 4 0 12 0 0 1 0 1
+2 0 2 0 2 0 0 1 0 1
+500 0 1 0 40 0 0 1 0 1
+90 0 6 0 52 0 0 1 0 1
+25 0 0 0 4 0 0 1 0 1
+8 0 7 0 8 0 0 1 0 1
+300 0 300 0 300 0 0 1 0 1
+30 0 2 0 6 0 0 1 0 1
+5 0 40 0 5 0 0 1 0 1
+700 0 5 0 7 0 0 1 0 1
+20 0 3 0 51 0 0 1 0 1
+30 0 20 0 3 100 0 1 0 1
+5 0 45 0 4 100 0 1 0 1
+282 0 3 0 6 100 0 1 0 1
+12 0 2 100 3 100 0 1 0 1
+1800 0 4 100 5 100 0 1 0 1
+40 0 1 0 2 80 0 1 0 1
+2 0 10 0 1 100 0 1 0 1
+7 0 3 100 40 0 0 1 0 1
+3 0 0 0 4 0 1 1 0 1
+6 0 2 0 40 0 1 1 0 1
+5 0 60 0 3 0 1 1 0 1
+4 100 4 0 20 0 0 1 0 1
+12 100 3 0 3 0 0 1 0 1
+60 100 5 0 8 0 0 1 0 1
+30 100 300 0 4 0 0 1 0 1
+4 100 50 0 6 100 0 1 0 0
+30 100 4 0 9 100 0 1 0 0
+60 100 3 100 20 0 0 1 0 0
+12 100 8 100 200 0 0 1 0 0
+5 100 2 100 5 100 0 1 0 0
 5 0 50 0 6 100 0 1 0 1
 40 5 60 0 50 0 0 0 0 1
 25 0 3 100 70 0 0 0 0 1
@@ -67,6 +107,46 @@ LABELLED = """
 6 0 4 100 60 0 1 0 0 1
 8 0 50 0 45 0 1 0 0 1
 9 0 45 0 60 0 0 0 0 1
+300 0 7 100 20 0 1 0 0 1
+2 0 46 100 54 0 0 0 0 1
+2 0 7 0 52 100 0 0 0 0
+8 0 8 0 0 0 0 0 0 1
+8 0 60 100 300 0 1 0 0 1
+9 0 10 100 5 0 0 0 0 1
+8 0 5 0 5 0 0 0 0 0
+14 0 44 0 300 100 0 0 0 1
+14 0 10 100 0 0 1 0 0 1
+8 0 10 0 0 0 0 0 0 1
+9 0 300 100 5 0 0 0 0 1
+2 0 5 100 0 0 0 0 0 0
+40 0 0 0 5 100 1 0 0 1
+2 0 8 100 0 0 0 0 0 1
+2 0 300 100 54 100 0 0 0 1
+14 0 7 0 20 0 0 0 0 1
+8 0 44 0 20 0 1 0 0 1
+8 0 10 0 54 100 0 0 0 0
+2 0 10 0 54 100 0 0 0 0
+5 0 300 0 5 0 0 0 0 1
+14 0 60 100 60 100 1 0 0 1
+14 0 7 0 5 0 0 0 0 1
+8 0 60 100 54 100 0 0 0 1
+9 0 300 0 60 0 0 0 0 1
+9 0 7 100 54 0 1 0 0 1
+2 0 46 0 5 0 0 0 0 1
+8 0 5 100 54 0 0 0 0 1
+14 0 0 0 5 100 0 0 0 1
+14 0 60 0 300 0 1 0 0 1
+5 0 44 100 5 0 0 0 0 1
+14 0 46 0 20 0 0 0 0 1
+14 0 300 100 5 0 0 0 0 1
+5 0 300 0 5 100 1 0 0 1
+14 0 5 0 20 100 0 0 0 1
+2 0 5 100 20 0 0 0 0 0
+5 0 0 0 54 100 0 0 0 0
+14 0 44 0 20 0 1 0 0 1
+8 0 46 100 60 100 0 0 0 1
+5 0 44 100 300 0 0 0 0 1
+14 0 0 0 5 0 0 0 0 1
 7 0 5 100 3 100 1 0 0 0
 4 0 3 100 5 100 0 0 0 0
 8 0 2 100 6 0 0 0 0 0
@@ -98,7 +178,7 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple:
 
 
 @lru_cache(1)
-def trained_tree(depth: int = 6) -> tuple:
+def trained_tree(depth: int = 8) -> tuple:
     table = np.array([list(map(float, row.split())) for row in LABELLED.strip().splitlines()])
     table[:, [1, 3, 5]] /= 100
     return _grow(table[:, :-1], table[:, -1], depth)
