@@ -3,6 +3,7 @@ Hamming distance by a generalised pigeonhole search."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,38 +20,47 @@ BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 #: A bucket with more fingerprints is split by further bits. Five splits leave
 #: fewer than nine free bits, so no bucket can stay larger.
 BUCKET = 512
+#: By similarity: sets with fewer shingles are compared whatever their
+#: fingerprints; texts sampled, and shingles kept of them, to order by rarity.
+FEW, ORDER_SAMPLE, COMMON = 64, 4096, 100_000
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The signed 64-bit SimHash of a text (0 without words): words are runs of
     non-space ASCII-lower-cased bytes; each shingle counts, repeats included."""
+    return majority(shingles(text, shingle))
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in order; of all its words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        value = digest(joined, SEED)
-        return value - (value >> 63 << 64)
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed SimHash of hashes, 0 of none."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view(">i8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = pa.array([fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.int64())
+        prints = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], prints], names=["id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, fp of every row (ids are longs)."""
-    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).mapInArrow(_fingerprints, "id bigint, fp bigint")
+    return docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).mapInArrow(lambda x: _fingerprints(x, shingle), "id bigint, fp bigint")
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,22 +209,129 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return attach(grouped.select("c", "fp", "n"), smallest, ["c"], ["component_id"], "m", ["fp"]).select("fp", "component_id", "n")
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def _order(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """tokens by how often they were seen among the common ones (sorted), then by value."""
+    if not len(common):
+        return np.sort(tokens)
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    return tokens[np.lexsort((tokens, np.where(common[at] == tokens, seen[at], 0)))]
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            x, y = a.values.to_numpy(), b.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+
+def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
+    """node, fp of texts (node, text; one node a distinct text), and u, v: links
+    between nodes whose sets of shingles have at least that Jaccard similarity.
+    Links join the same components as all such pairs would.
+
+    Two such sets share one of the first n - ceil(similarity * n) + 1 shingles in
+    any order that all texts use; here the ones rare in a sample come first,
+    which only saves work. Candidates agree in one of these, have fitting sizes
+    and, of FEW or more shingles, fingerprints within distance bits (over
+    distinct shingles); all are verified by their sets. First each text meets
+    the smallest node of each of its shingles, then only texts in different
+    components meet: a large group of near copies needs few comparisons.
+    """
+    spark = texts.sparkSession
+    hashed = lambda t: np.unique(shingles(t, shingle)).view(np.int64)
+
+    def tokens(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    nodes = texts.select("node").distinct().count()
+    part = texts if nodes <= ORDER_SAMPLE else texts.where(F.pmod(F.xxhash64("node"), F.lit(-(-nodes // ORDER_SAMPLE))) == 0)
+    often = part.mapInArrow(tokens, "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 2")
+    # COMMON pairs of numbers at most, whatever the table holds
+    rows = often.orderBy(F.desc("count"), "t").limit(COMMON).orderBy("t").collect()
+    common, seen = np.array([r["t"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+
+    def features(batches):
+        for batch in batches:
+            sets = [hashed(t.as_py()) for t in batch.column(1)]
+            first = [_order(x, common, seen)[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(x.view(np.uint64)) for x in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "fp", "n", "first"])
+
+    made = checkpointed(texts.mapInArrow(features, "node bigint, fp bigint, n bigint, first array<bigint>").dropDuplicates(["node"]))
+    rows = made.select("node", F.explode("first").alias("t"))
+    met = rows.groupBy("t").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = checkpointed(attach(rows, met, ["t"], ["head"], "m", ["node"]).where("head IS NOT NULL").select("t", "node", "head"))
+    one = made.select("node", "n", "fp")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are similar."""
+        for c in "uv":
+            uses = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
+            known = uses.join(one.withColumnRenamed("node", c), c).withColumnsRenamed({"n": f"n{c}", "fp": f"f{c}"})
+            pairs = attach(pairs, known, [c], [f"n{c}", f"f{c}"], "m", ["v" if c == "u" else "u"]).drop("__s")
+        size = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
+        bits = (F.least("nu", "nv") < FEW) | (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= distance)
+        pairs = checkpointed(pairs.where(size & bits).select("u", "v"))
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = checkpointed(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(tokens, "node bigint, tokens array<bigint>"))
+        for c, name in zip("uv", "ab", strict=True):
+            known = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m")).join(sets.select(F.col("node").alias(c), F.col("tokens").alias(name)), c)
+            pairs = attach(pairs, known, [c], [name], "m", ["v" if c == "u" else "u"]).drop("__s")
+        return checkpointed(pairs.select("u", "v", "a", "b").mapInArrow(lambda x: _jaccard(x, similarity), "u bigint, v bigint"))
+
+    links = verified(rows.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
+    joined = components(links).select("node", "component")
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    rows = rows.drop("head").join(joined.where(F.col("node") != F.col("component")), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    open_ones = rows.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    rows = attach(rows, open_ones, ["t"], ["low"], "m", ["node"]).where("low IS NOT NULL").select("t", "node", "c").join(one, "node")
+    rows = checkpointed(rows)
+    u, v = (rows.select("t", *[F.col(x).alias(x + k) for x in ("node", "c", "n", "fp")]) for k in "uv")
+    near = (F.col("nodeu") < F.col("nodev")) & (F.col("cu") != F.col("cv")) & (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
+    near &= (F.least("nu", "nv") < FEW) | (F.bit_count(F.col("fpu").bitwiseXOR(F.col("fpv"))) <= distance)
+    others = u.join(v, "t").where(near).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct()
+    return made.select("node", "fp"), links.unionByName(verified(others))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, similarity: float) -> DataFrame:
+    """id, fp, component_id for every row, linked by similarity."""
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
+    prints, links = similar_links(rows.select("node", "text"), shingle, similarity, distance)
+    counts = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    grouped = checkpointed(counts.join(prints, "node").join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node")))
+    smallest = grouped.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    known = attach(grouped.select("c", "node", "fp", "n"), smallest, ["c"], ["component_id"], "m", ["node"])
+    return attach(rows.select("id", "node"), known.select("node", "fp", "component_id", "n"), ["node"], ["fp", "component_id"], "n", ["id"])
+
+
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """id_col, fingerprint (16 hex digits) and component_id for every row.
 
+    Without similarity, fingerprints within distance bits are linked. With it,
+    texts are whose sets of shingles have that Jaccard similarity at least;
+    fingerprints are then over distinct shingles, and pairs of FEW or more
+    shingles that differ in more than distance bits are not compared.
+
     Defined results: a null or blank text has fingerprint zero and links like
     any other; with fewer words than a shingle the whole sequence is one
     shingle; repeated rows are returned each; null ids are returned, and are a
     component's smallest id only where all its ids are null; other columns are
     ignored; an empty table gives an empty table.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col))
-    found = attach(prints, near_groups(prints, distance), ["fp"], ["component_id"], "n", ["id"])
+    if similarity is None:
+        prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+        found = attach(prints, near_groups(prints, distance), ["fp"], ["component_id"], "n", ["id"])
+    else:
+        found = _similar(docs, id_col, text_col, distance, shingle, similarity)
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """docs, less all but the smallest id of each component. Rows without an id
     can't be named as another's copy, and stay; so do repeats of the id kept."""
-    dropped = simhash(docs, id_col, text_col, distance).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    dropped = simhash(docs, id_col, text_col, distance, shingle, similarity).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(dropped, quoted(id_col) == F.col("__gone"), "left_anti")

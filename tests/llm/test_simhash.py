@@ -130,3 +130,67 @@ def test_components_of_long_paths_and_stars(spark):
     linked = {i for a, b in links if a != b for i in (a, b)}
     assert got == {i: find(i) for i in linked}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def five_words(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def by_similarity(rows, least=0.8):
+    """The smallest id of each group, by comparing all pairs."""
+    sets, root = {i: five_words(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (a, _) in enumerate(rows):
+        for b, _ in rows[:n]:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if both >= least * either:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def similar_texts():
+    """Copies edited in up to every twelfth word, chains of edits, one large
+    group, and texts that share a long passage only."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    passage, out = rng.choices(words, k=60), ["", "one", "a b c d e f", "A b c d e f", " a b c d e f g h i j", "a b c d e f g h i k", "x " * 300]
+    for k in range(24):
+        base = rng.choices(words, k=rng.choice([8, 60, 200, 600])) + passage * (k % 3 == 0)
+        out.append(" ".join(base))
+        for _ in range(4):
+            for _ in range(rng.randrange(1, max(2, len(base) // 30))):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            out.append(" ".join(base))
+    big = rng.choices(words, k=250)
+    for _ in range(150):
+        copy = list(big)
+        copy[rng.randrange(250)], copy[rng.randrange(250)] = rng.choices(words, k=2)
+        out.append(" ".join(copy))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_similarity_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rows = similar_texts()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = by_similarity(rows)
+    full = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    left = corpus_pipeline.drop_near_copies(spark, full, "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+
+
+def test_similarity_edge_cases(spark):
+    rows = [(3, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None), (4, ""), (3, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.component_id) for r in S.simhash(df, shingle=5, similarity=0.8).collect()]
+    assert sorted(got, key=str) == sorted([(3, 1), (1, 1), (None, 1), (2, 2), (4, 2), (3, 1)], key=str)
+    assert S.simhash_dedup(df.limit(0), shingle=5, similarity=0.8).collect() == []
