@@ -65,3 +65,15 @@ def test_operator_on_nulls_repeats_and_giants(spark):
     best = total(V.encode(giant), giant)
     assert [total(r["ids"], giant) for r in got if r["doc_id"] == 3] == [best, best]
     assert S.decode(S.encode(docs.limit(0))).count() == 0
+
+
+def test_pipeline_stage_decodes_too(spark):
+    import hashlib
+
+    import corpus_pipeline
+
+    texts = {1: "A quiet mill, é ß ▁ 漢\n", 2: "", 3: "grain " * 20_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert {i: r["decoded_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got.values())
