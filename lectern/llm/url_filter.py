@@ -66,7 +66,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     block) and lm_score (length-normalised log-likelihood ratio less the
     calibrated threshold; null where a rule decides).
 
-    The models count every URL that a rule allows or blocks, but for one in
+    The models see host and path only, as the rules do: scheme, query string and
+    fragment are not scored, so URLs that differ in these alone are judged alike.
+    They count every URL that a rule allows or blocks, but for one in
     eight by hash, which set the threshold: between the mean scores of both
     classes, nearer the class that varies less. Scores are per distinct string;
     a n-gram or URL that a third of the rows share is looked up by attach().
