@@ -13,6 +13,8 @@ from . import chat, cover_tree, exact_dedup, html_blocks, mixing, sentencepiece_
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 SHARDS = 24
 WEIGHTS = (5, 2, 1)
+#: The public vocabulary file that op2 and the pipeline encode by.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +30,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents")))
+    both = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), MODEL), MODEL)
     return both.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -74,7 +76,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, report = mixing.mix(docs, F.array("source"), source_weights)
     known = spark.createDataFrame([(s, x["size"], x["target"]) for s, x in report.items()], "s string, source_size bigint, target double")
     out = mixed.select("doc_id", "size", "source", "taken")
-    # one row a source, as many as the driver has just planned with
+    # one row a source: mix() has just planned for them, so mixing.PATTERNS at most
     return out.join(F.broadcast(known), out["source"].eqNullSafe(known["s"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
