@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key counts as hot from this share of all rows on, so that at most
 #: 1 / HOT_SHARE keys are hot: the proven bound on what attach() broadcasts.
 HOT_KEYS = 1024
+#: Rows of one or two numbers that may be broadcast: 16 MB.
+BROADCAST_ROWS = 1 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -33,16 +35,41 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def use_shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own is set only
-    where that setting is absent (tests on one machine)."""
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like name that df doesn't have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+class Guard:
+    """Keeps an operator's own columns, which begin with two underscores, apart
+    from input columns that do so too: those get other names while it works."""
+
+    def __init__(self, df: DataFrame, written: tuple[str, ...], **own: Column):
+        """rows: df less the columns that are about to be written, plus own."""
+        kept = without(df, *written).columns
+        self.names = {c: f"__{i}_" if c.startswith("__") else c for i, c in enumerate(kept)}
+        self.rows = df.select(*[quoted(c).alias(n) for c, n in self.names.items()], *[c.alias(f"__{n}") for n, c in own.items()])
+        self.written = written
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """df with the input's columns under their names, and the written ones."""
+        return df.select(*[quoted(n).alias(c) for c, n in self.names.items()], *self.written)
+
+
+def use_shared_checkpoints(spark: SparkSession) -> str:
+    """The folder for checkpoints: spark.checkpoint.dir. Where that is unset, a
+    single-JVM session (tests) gets a temporary folder; on a cluster executors
+    couldn't read one, so that is an error."""
     sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(given)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-checkpoints-"))
+    if not sc.getCheckpointDir():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="lectern-checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,6 +78,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df (checkpointed, a few numbers a row), marked for a broadcast if it is
+    counted to have at most that many rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], values: list[str], count: str, spread: list[str]) -> DataFrame:
     """Left-join values of groups (one row per keys, keys never null) to rows,
     with no task holding a hot key.

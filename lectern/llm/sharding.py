@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, without
+from .common import Guard, quoted
 
 OUT = ("shard", "slot", "grown_shard")
 #: Rows that one task numbers, about.
@@ -43,15 +43,15 @@ def shard(docs: DataFrame, weights: list[float], grown: list[float] | None = Non
     only in the order; an empty table gives an empty table; an input column
     named like an output is replaced.
     """
-    rows = without(docs, *OUT)
-    key = F.coalesce(quoted(id_col).cast("string"), F.lit(""))
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    digits = max(1, math.ceil(math.log(max(1, rows.count() / (SLOT_ROWS * len(weights))), 16)))
+    key, text = F.coalesce(quoted(id_col).cast("string"), F.lit("")), F.coalesce(quoted(text_col), F.lit(""))
     order = F.md5(F.concat(key, F.lit("|"), F.crc32(F.encode(text, "UTF-8")).cast("string")))
-    rows = rows.withColumns({"shard": rendezvous(key, weights), "grown_shard": rendezvous(key, grown) if grown else F.lit(None).cast("int"), "__o": order})
-    rows = rows.withColumns({"__b": F.substring("__o", 1, digits), "__key": key, "__x": F.md5(text)})
+    safe = Guard(docs, OUT, key=key, o=order, x=F.md5(text))
+    digits = max(1, math.ceil(math.log(max(1, docs.count() / (SLOT_ROWS * len(weights))), 16)))
+    key = F.col("__key")
+    rows = safe.rows.withColumns({"shard": rendezvous(key, weights), "grown_shard": rendezvous(key, grown) if grown else F.lit(None).cast("int"), "__b": F.substring("__o", 1, digits)})
     ahead = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select("shard", "__b", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
     within = Window.partitionBy("shard", "__b").orderBy("__o", "__key", "__x")
-    return rows.withColumn("__r", F.row_number().over(within)).join(starts, ["shard", "__b"]).withColumn("slot", F.col("__start") + F.col("__r") - 1).drop("__o", "__b", "__key", "__x", "__start", "__r")
+    rows = rows.withColumn("__r", F.row_number().over(within)).join(starts, ["shard", "__b"])
+    return safe.back(rows.withColumn("slot", F.col("__start") + F.col("__r") - 1))

@@ -56,3 +56,10 @@ def test_attach_finds_hot_and_cold_keys(spark):
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("k <> 3")
     got = attach(rows, groups, ["k"], ["top"], "n", ["id"]).join(groups.select("k", F.col("top").alias("want")), "k", "left")
     assert got.count() == 5000 and got.where("NOT top <=> want").count() == 0
+
+
+def test_columns_named_like_private_ones_stay(spark):
+    docs = spark.createDataFrame([(1, "A", 5, 6, 7, 8), (2, "a", 5, 6, 7, 9), (2, "a", 5, 6, 7, 9)], "doc_id int, text string, __t int, __s int, __hot int, KEPT int")
+    out = exact_dedup(docs)
+    assert out.columns == ["doc_id", "text", "__t", "__s", "__hot", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted((r["doc_id"], r["__t"], r["__s"], r["__hot"], r["keep_id"], r["group_size"], r["kept"]) for r in out.collect()) == [(1, 5, 6, 7, 1, 3, True), (2, 5, 6, 7, 1, 3, False), (2, 5, 6, 7, 1, 3, False)]
