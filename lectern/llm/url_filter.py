@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, checkpointed, quoted, without
+from .common import Guard, ascii_lower, attach, checkpointed, quoted
 
 OUT = ("host", "path", "rule", "verdict", "lm_score")
 #: Characters of context that the longest model looks back.
@@ -72,24 +72,31 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     eight by hash, which set the threshold: between the mean scores of both
     classes, nearer the class that varies less. Scores are per distinct string;
     a n-gram or URL that a third of the rows share is looked up by attach().
+    Beside each character stands its string's digest, not the string, so work
+    grows with the length of a URL, not its square.
 
     Defined results: a null url, or one without ://, has empty host and path and
-    is scored as such; if one class has no URL, all scores are 0 and undecided
-    URLs are allowed; an empty table gives an empty table; an input column named
-    like an output is replaced; repeated rows are judged alike.
+    is scored as such; URLs of any length are scored whole; if one class has no
+    URL, all scores are 0 and undecided URLs are allowed; an empty table gives an
+    empty table; an input column named like an output is replaced; repeated rows
+    are judged alike.
     """
     host, path = host_and_path(quoted(url_col))
-    rows = without(pages, *OUT).withColumns({"host": host, "path": path})
+    safe = Guard(pages, OUT, host=host, path=path, i=F.monotonically_increasing_id())
+    rows = safe.rows.withColumnsRenamed({"__host": "host", "__path": "path"})
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "__v": verdict, "__u": F.concat("host", "path")})
-    urls = rows.groupBy("__u", "__v").agg(F.count(F.lit(1)).alias("m"))
-    held = F.substring(F.md5("__u"), 1, 1).isin(*HELD_OUT)
-    chars = F.regexp_extract_all(F.concat(F.lit("\u0002" * ORDER), "__u", F.lit("\u0003")), F.lit("(?s)."), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size("c") - ORDER), lambda i: F.array_join(F.slice("c", i, F.lit(ORDER + 1)), ""))
+    rows = rows.withColumns({"rule": name, "__v": verdict, "__u": F.unhex(F.md5(F.concat("host", "path")))})
+    held = F.substring(F.hex("__u"), 1, 1).isin(*HELD_OUT)
     counted = lambda what: F.when((F.col("__v") == what) & ~held, F.col("m")).otherwise(0)
-    urls = urls.withColumns({"a": counted("allow"), "r": counted("block"), "c": chars})
-    spots = urls.select("__u", "__v", "m", "a", "r", F.explode(grams).alias("gram"))
-    model = _model(spots.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count(F.lit(1)).alias("n")))
+    urls = rows.groupBy("__u", "__v").agg(F.first(F.concat("host", "path")).alias("text"), F.count(F.lit(1)).alias("m")).withColumns({"a": counted("allow"), "r": counted("block")})
+    # dealt by number, so that a small table's characters keep all cores busy too
+    spark = pages.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    urls = checkpointed(urls.repartition(parts, "__u"))
+    chars = F.regexp_extract_all(F.concat(F.lit("\u0002" * ORDER), "text", F.lit("\u0003")), F.lit("(?s)."), F.lit(0))
+    grams = F.transform(F.sequence(F.lit(1), F.size("c") - ORDER), lambda i: F.array_join(F.slice("c", i, F.lit(ORDER + 1)), ""))
+    spots = urls.withColumn("c", chars).select("__u", "__v", "m", "a", "r", F.explode(grams).alias("gram"))
+    model = checkpointed(_model(spots.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count(F.lit(1)).alias("n"))))
     scored = attach(spots.select("__u", "__v", "m", "gram"), model, ["gram"], ["llr"], "n", ["__u"])
     scored = checkpointed(scored.groupBy("__u", "__v", "m").agg(F.avg("llr").alias("score")))
     both = {r["__v"]: r for r in scored.where(held & F.col("__v").isNotNull()).groupBy("__v").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()}
@@ -99,7 +106,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
         spread = a["sd"] + r["sd"]
         line = (a["mean"] * r["sd"] + r["mean"] * a["sd"]) / spread if spread else (a["mean"] + r["mean"]) / 2
     open_ones = scored.where(F.col("__v").isNull()).select("__u", "m", (F.col("score") - line).alias("lm_score"))
-    rows = rows.withColumn("__id", F.monotonically_increasing_id())
-    out = attach(rows, open_ones, ["__u"], ["lm_score"], "m", ["__id"])
+    out = attach(rows, open_ones, ["__u"], ["lm_score"], "m", ["__i"])
     out = out.withColumn("lm_score", F.when(F.col("__v").isNull(), F.col("lm_score")))
-    return out.withColumn("verdict", F.coalesce("__v", F.when(F.col("lm_score") >= 0, "allow").otherwise("block"))).drop("__v", "__u", "__s", "__id")
+    return safe.back(out.withColumn("verdict", F.coalesce("__v", F.when(F.col("lm_score") >= 0, "allow").otherwise("block"))))
