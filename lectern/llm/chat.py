@@ -39,8 +39,10 @@ def format_chats(turns: DataFrame, learn_from: str = "assistant") -> DataFrame:
     are ignored; an empty table gives an empty table. One conversation has to
     fit one row, as its formatted text does.
     """
-    turn = F.struct(F.col("turn"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    # escaped after sorting: escapes would change the order of ties
+    sorted_turns = sorted_turns.withColumn("t", F.transform("t", lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"))))
     n = F.size("t")
     # where runs of one role begin, and one past the end
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i)["role"] != F.get("t", i - 1)["role"]))

@@ -37,3 +37,11 @@ def test_long_text(spark):
     text = "<turn>\\ é" * 50_000
     got = read(spark, [(1, 0, "assistant", text, None)])
     assert got[1]["loss"] == text and got[1]["turns"][0]["text"] == text
+
+
+def test_ties_sort_by_what_was_said_not_by_its_escapes(spark):
+    texts = ["=x", "<turn>", "\\", "a\\b", "<", "]"]
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in texts] + [(2, 0, "<text>", "a"), (2, 0, "=", "b"), (2, 0, "<text>", "a")], "conv_id int, turn int, role string, text string").repartition(3)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.format_chats(turns).select("conv_id", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got[1] == [("user", t) for t in sorted(texts)]
+    assert got[2] == [("<text>", "a"), ("<text>", "a"), ("=", "b")]
