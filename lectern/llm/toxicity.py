@@ -17,14 +17,15 @@ from .common import quoted
 
 #: Labelled documents that the model is fitted on at most, by smallest hash.
 SAMPLE = 5000
-#: Longest text, in characters, in that sample (scoring has no limit).
-SAMPLE_CHARS = 20_000
+#: Characters that these hold together: the sample ends, in that order of hashes,
+#: before the row that would exceed them (the first row is taken whatever its length).
+SAMPLE_CHARS = 64_000_000
 #: Features kept, those that separate the labelled documents best.
 FEATURES = 4096
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
-#: A sentence's chance below this counts as none, else the many clean sentences
-#: of a long document add up.
+#: What the logistic of a sentence's evidence has to exceed to count at all, in
+#: training as in scoring, else the many clean sentences of a long document add up.
 FLOOR = 0.06
 SENTENCE = re.compile(r"[^.!?\n]+")
 PUNCTUATION = "'\"()[]{}<>,;:*_-#%&$|/\\~`"
@@ -46,7 +47,6 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float, leak: float):
         self.weights, self.bias, self.leak = weights, bias, leak
         self.known: dict[str, float] = {}
-        self.base = 1 / (1 + math.exp(-bias))
 
     def __reduce__(self):
         return Model, (self.weights, self.bias, self.leak)
@@ -65,9 +65,7 @@ class Model:
     def chance(self, evidence: float) -> float:
         if evidence <= 0:
             return 0.0
-        p = 1 / (1 + math.exp(-min(self.bias + evidence, 30)))
-        p = (p - self.base) / (1 - self.base)
-        return p if p >= FLOOR else 0.0
+        return max(0.0, (1 / (1 + math.exp(-min(self.bias + evidence, 30))) - FLOOR) / (1 - FLOOR))
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The score and (start, end, score) of every sentence with evidence."""
@@ -111,15 +109,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5
     bare = np.ones(len(y), bool)
     bare[owner] = False
     leak = float(np.clip((y[bare].sum() + 0.5) / (bare.sum() + 10), 1e-3, 0.2))
-    w, b, base = np.array([min(odds[f], 4.0) for f in chosen]), -4.0, 1 / (1 + math.exp(4.0))
+    w, b = np.array([min(odds[f], 4.0) for f in chosen]), -4.0
     speed = np.full(len(w), 1e-6)
     for _ in range(rounds):
         z = b + np.bincount(sentence, w[feature], len(owner))
         raw = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        p = np.clip((raw - base) / (1 - base), 1e-9, 1 - 1e-9)
+        p = np.clip((raw - FLOOR) / (1 - FLOOR), 0, 1 - 1e-9)
         clean = np.exp(np.bincount(owner, np.log1p(-p), len(y))) * (1 - leak)
         whole = np.clip(1 - clean, 1e-9, 1 - 1e-9)
-        slope = np.where(y[owner] == 1, clean[owner] / whole[owner], -1.0) / (1 - p) * raw * (1 - raw) / (1 - base)
+        slope = np.where(y[owner] == 1, clean[owner] / whole[owner], -1.0) / (1 - p) * raw * (1 - raw) / (1 - FLOOR) * (p > 0)
         step = np.bincount(feature, slope[sentence], len(w)) - decay * w
         speed += step * step
         w = np.maximum(w + rate * step / np.sqrt(speed), 0)
@@ -132,14 +130,28 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most SAMPLE labelled rows that are not held out, those
-    with the smallest hash of their id. Rows without text, label or id don't
-    count; of an id with several labels the larger one does."""
+    """A model from at most SAMPLE labelled rows of SAMPLE_CHARS characters in all
+    that are not held out, those with the smallest hash of their id.
+
+    Defined results: rows without text, label or id don't count; of an id with
+    several labels the larger one does; rows that repeat an id count each; with
+    no labelled text, or one class only, the model knows no words and scores
+    every text by that class's share; other columns are ignored.
+    """
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~is_held_out(F.col("id")))
     picked = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.char_length("text") <= SAMPLE_CHARS)
     # picked has SAMPLE rows of two numbers at most, whatever the tables hold
-    rows = texts.join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE).select("text", "y").collect()
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "id")
+    texts = texts.select(F.xxhash64("id", "text").alias("row"), F.xxhash64("id").alias("h"), "id", "text", "y")
+    order = ["h", "id", "row"]
+    sizes = texts.select(*order, F.char_length("text").alias("chars")).orderBy(*order).limit(SAMPLE).collect()
+    held, n = 0, 0
+    for r in sizes:
+        held += r["chars"]
+        if held > SAMPLE_CHARS and n:
+            break
+        n += 1
+    rows = texts.orderBy(*order).limit(n).select("text", "y").collect() if n else []
     return fit([r["text"] for r in rows], [int(r["y"] > 0) for r in rows])
 
 
@@ -150,16 +162,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id_col, score (0 to 1) and sentences: where evidence lies and how strong.
 
     Defined results: a null, empty or wordless text gets the leak as its score
-    and no sentences; repeated rows are scored each; ids of any type and null
+    and no sentences; texts of any length are scored whole; repeated rows are scored each; ids of any type and null
     pass through; other columns are ignored; an empty table gives an empty
     table. The text is the only input of a score. One pass, no shuffle.
     """
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.document(t.as_py() or "") for t in batch.column(1)]
-            spans = pa.array([[dict(zip(("start", "end", "score"), s, strict=True)) for s in x[1]] for x in got], kind)
+            flat = [span for _, spans in got for span in spans]
+            parts = [pa.array([span[k] for span in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            ends = pa.array(np.cumsum([0, *(len(spans) for _, spans in got)]), pa.int32())
+            spans = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["start", "end", "score"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.float64()), spans], names=["id", "score", "sentences"])
 
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
@@ -168,7 +181,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, less the rows whose score reaches the threshold."""
+    """docs, less the rows whose score reaches the threshold.
+
+    Defined results: a null, empty or wordless text scores the leak; texts of
+    any length are scored whole; repeated rows go or stay alike; all columns
+    pass through; an empty table gives an empty table.
+    """
 
     @F.pandas_udf("double")
     def toxic(texts):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -65,3 +66,40 @@ def test_held_out_labels_change_nothing(spark):
     turned = labels.selectExpr("doc_id", "IF(crc32(CAST(doc_id AS STRING)) % 4 = 2, 1 - toxic, toxic) AS toxic")
     a, b = toxicity.train(docs, labels), toxicity.train(docs, turned)
     assert (a.weights, a.bias, a.leak) == (b.weights, b.bias, b.leak)
+
+
+def test_training_and_scoring_share_one_noisy_or(monkeypatch):
+    """The chance of a fitted document, recomputed from its sentences by the
+    formula that training uses, is its score; the floor holds in both."""
+    m = model()
+    for _, text, _ in corpus(60, 5):
+        clean = 1 - m.leak
+        for s in toxicity.SENTENCE.findall(text):
+            evidence = sum(m.weights.get(f, 0.0) for w in toxicity.words(s) for f in toxicity.features(w))
+            raw = 1 / (1 + math.exp(-(m.bias + evidence)))
+            clean *= 1 - max(0.0, (raw - toxicity.FLOOR) / (1 - toxicity.FLOOR))
+        assert m.document(text)[0] == pytest.approx(1 - clean)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rows = [(i, ". ".join([" ".join(CLEAN)] * 600 + (["you vile grubworm go away"] if i % 2 else [])), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    trained = toxicity.train(docs, labels)
+    assert min(len(t) for _, t, _ in rows) > 20_000 and any(f.startswith("grub") for f in trained.weights)
+    assert all((trained.document(t)[0] >= toxicity.THRESHOLD) == bool(y) for _, t, y in rows)
+
+
+def test_the_sample_ends_by_order_not_by_length(spark, monkeypatch):
+    rows = corpus(50, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(texts))
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", sum(map(len, seen[0][:7])) + 1)
+    toxicity.train(docs, labels)
+    assert seen[1] == seen[0][:7]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1)
+    toxicity.train(docs, labels)
+    assert seen[2] == seen[0][:1]
