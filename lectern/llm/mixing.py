@@ -5,15 +5,20 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, quoted, without
+from .common import WORD, Guard, quoted
 
 OUT = ("size", "taken", "copies")
-#: Rows that are ordered together when a pattern's last documents are chosen.
+#: Rows that are ordered together when a pattern's last documents are chosen, about.
 BUCKET_ROWS = 8192
+#: Membership patterns that the driver plans for at most; more are an error.
+PATTERNS = 100_000
+#: Times that documents which still fit are sought for what is left of a pattern's flow.
+FILLS = 4
 
 
 def targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -35,8 +40,14 @@ def min_cost_flow(capacity: dict, quota: dict, most: int) -> dict:
     Arcs: pattern to source where the pattern holds the source; a pattern's
     k-th repetition of its words costs k (convex, so repeats are a last resort
     and spread evenly). Successive shortest paths with potentials. The graph is
-    as large as the number of patterns and sources, whatever the rows.
+    as large as the number of patterns and sources, whatever the rows; a pattern
+    and its only source that share no other arc need no search.
     """
+    holders = Counter(s for p in capacity for s in dict.fromkeys(p))
+    alone = {(p, p[0]): min(quota[p[0]], most * size) for p, size in capacity.items() if len(set(p)) == 1 and holders[p[0]] == 1}
+    settled = {s for _, s in alone}
+    capacity = {p: size for p, size in capacity.items() if p and (p, p[0]) not in alone}
+    quota = {s: q for s, q in quota.items() if s not in settled}
     graph: list[list[list]] = []  # node -> [to, room, cost, place of the reverse arc]
 
     def node() -> int:
@@ -84,7 +95,7 @@ def min_cost_flow(capacity: dict, quota: dict, most: int) -> dict:
             graph[u][i][1] -= room
             graph[v][graph[u][i][3]][1] += room
             v = u
-    return {k: most * capacity[k[0]] - a[1] for k, a in kept.items()}
+    return alone | {k: most * capacity[k[0]] - a[1] for k, a in kept.items()}
 
 
 def words(text: Column) -> Column:
@@ -98,50 +109,67 @@ def mix(docs: DataFrame, members: Column, weights_of, total: float | None = None
     members: array of the sources that a document belongs to. weights_of: from
     the list of sources (by code point, null last) to a weight for each. total:
     words to mix, all there are by default. A pattern takes its whole documents
-    evenly often, and one time more as many as its flow still needs: in a
-    seeded order up to the first that is too large, then the largest that fits
-    the gap among those ordered with it.
+    evenly often, and some one time more, as its flow still needs: in a seeded
+    order up to the first that is too large, then again from those that fit what
+    is left, FILLS times, and at last the largest that fits.
 
     Defined results: a null text has size 0; a null source is a source like any
     other; documents without members, or of size 0, are not taken beyond the
-    even copies; repeated rows count each, ties in the order by id, size
-    and a hash of the text; an
-    empty table gives an empty table; an input column named like an output is
-    replaced. The driver holds one row a pattern, none a document.
-
-    Skew: a pattern is cut into buckets by its seeded order, their number grows
-    with the table, and only bucket sums meet; rows shuffle once.
+    even copies; repeated rows count each, ties in the order by id, size and a
+    hash of the text; texts of any length count whole; an empty table gives an
+    empty table; an input column named like an output is replaced. The driver
+    holds one row a pattern, none a document; more than PATTERNS are an error.
+
+    Skew: a pattern is cut into buckets of about BUCKET_ROWS by its seeded order
+    (of id and text, so rows without an id are spread too), and only bucket sums
+    meet. Fills look at the bucket where the order is cut and the next.
     """
-    rows = without(docs, *OUT).withColumns({"size": words(quoted(text_col)), "__p": members})
-    order = F.xxhash64(quoted(id_col), F.lit(seed))
-    summed = [(tuple(r["__p"]) if r["__p"] is not None else (), r["size"], r["n"]) for r in rows.groupBy("__p").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()]
-    capacity: dict = {}
-    for p, size, _ in summed:
-        capacity[p] = capacity.get(p, 0) + size
+    text = F.xxhash64(quoted(text_col))
+    safe = Guard(docs, OUT, q=F.coalesce(members, F.array().cast("array<string>")), x=text, o=F.xxhash64(quoted(id_col), text, F.lit(seed)), id=quoted(id_col), size=words(quoted(text_col)))
+    rows = safe.rows.withColumnRenamed("__size", "size")
+    summed = rows.groupBy("__q").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(PATTERNS + 1).collect()
+    if len(summed) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} membership patterns")
+    capacity = {tuple(r["__q"]): r["size"] for r in summed}
     sources = sorted({s for p in capacity for s in p}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(n for p, n in capacity.items() if s in p) for s in sources}
+    sizes = Counter()
+    for p, size in capacity.items():
+        sizes.update({s: size for s in set(p)})
     wanted = targets(sizes, dict(zip(sources, weights_of(sources), strict=True)), sum(capacity.values()) if total is None else total, most)
     flow = min_cost_flow(capacity, {s: round(x) for s, x in wanted.items()}, most)
-    given = {p: sum(flow[p, s] for s in dict.fromkeys(p)) for p in capacity}
-    report = {s: {"size": sizes[s], "target": wanted[s], "routed": sum(n for (_, x), n in flow.items() if x == s)} for s in sources}
-
-    n = max(sum(x[2] for x in summed), 1)
-    bits = max(0, math.ceil(math.log2(n / BUCKET_ROWS)))
-    plan = docs.sparkSession.createDataFrame([(list(p), given[p] // max(size, 1), given[p] % max(size, 1)) for p, size in capacity.items()], "__q array<string>, __even bigint, __rest bigint")
-    rows = rows.withColumns({"__q": F.coalesce("__p", F.array().cast("array<string>")), "__o": order, "__x": F.xxhash64(quoted(text_col))}).drop("__p")
-    rows = rows.withColumn("__b", F.shiftrightunsigned("__o", 64 - bits) if bits else F.lit(0).cast("long"))
+    given, routed = Counter(), Counter()
+    for (p, s), n in flow.items():
+        given[p] += n
+        routed[s] += n
+    report = {s: {"size": sizes[s], "target": wanted[s], "routed": routed[s]} for s in sources}
+
+    # one row a pattern, so PATTERNS at most
+    bits = lambda n: max(0, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)))
+    plan = [(list(p), given[p] // max(size, 1), given[p] % max(size, 1)) for p, size in capacity.items()]
+    plan = docs.sparkSession.createDataFrame(plan, "__q array<string>, __even bigint, __rest bigint")
+    cut = docs.sparkSession.createDataFrame([(list(r["__q"]), 64 - bits(r["n"])) for r in summed if bits(r["n"])], "__q array<string>, __shift int")
+    rows = rows.join(F.broadcast(cut), "__q", "left")
+    rows = rows.withColumn("__b", F.coalesce(F.call_function("shiftrightunsigned", F.col("__o"), F.col("__shift")), F.lit(0).cast("long")))
     ahead = Window.partitionBy("__q").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("__q", "__b").agg(F.sum("size").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)))
-    buckets = buckets.join(plan, "__q").select("__q", "__b", "__even", (F.col("__rest") - F.col("__before")).alias("__room"))
-    alone = Window.partitionBy("__q", "__b")
-    ordered = alone.orderBy("__o", quoted(id_col), "size", "__x")
-    rows = rows.withColumn("__run", F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).join(buckets, ["__q", "__b"])
-    fits = F.col("__run") <= F.col("__room")
-    gap = F.col("__room") - F.coalesce(F.max(F.when(fits, F.col("__run"))).over(alone), F.lit(0))
-    rows = rows.withColumns({"__fits": fits, "__gap": gap})
-    filler = ~F.col("__fits") & (F.col("size") <= F.col("__gap")) & (F.col("size") > 0)
-    largest = alone.orderBy(filler.cast("int").desc(), F.col("size").desc(), "__run", "__o")
-    rows = rows.withColumn("__first", F.row_number().over(largest))
-    extra = F.when(F.col("__fits") | (filler & (F.col("__first") == 1)), 1).otherwise(0)
-    out = rows.withColumn("copies", F.least(F.col("__even") + extra, F.lit(most).cast("long"))).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("__q", "__o", "__b", "__run", "__even", "__room", "__fits", "__gap", "__first", "__x"), report
+    buckets = buckets.join(F.broadcast(plan), "__q").withColumn("__room", F.col("__rest") - F.col("__before"))
+    # the bucket after the one where the order is cut goes with it, for fills
+    in_order = Window.partitionBy("__q").orderBy("__b")
+    earlier = {c: F.lag(c).over(in_order) for c in ("__b", "__room", "__sum")}
+    goes_with = (earlier["__room"] >= 0) & (earlier["__room"] < earlier["__sum"])
+    buckets = buckets.select("__q", "__b", "__even", F.when(goes_with, earlier["__b"]).otherwise(F.col("__b")).alias("__g"), F.when(goes_with, earlier["__room"]).otherwise(F.col("__room")).alias("__room"))
+    alone = Window.partitionBy("__q", "__g")
+    ordered = alone.orderBy("__o", "__id", "size", "__x").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(buckets, ["__q", "__b"]).withColumn("__took", F.lit(False))
+    for _ in range(1 + FILLS):
+        # what is left is never more than room, so later buckets (room < 0) take none
+        rows = rows.withColumn("__fits", ~F.col("__took") & (F.col("size") <= F.col("__room")) & (F.col("size") > 0))
+        rows = rows.withColumn("__run", F.sum(F.when(F.col("__fits"), F.col("size")).otherwise(0)).over(ordered))
+        rows = rows.withColumn("__new", F.col("__fits") & (F.col("__run") <= F.col("__room")))
+        rows = rows.withColumn("__room", F.col("__room") - F.sum(F.when(F.col("__new"), F.col("size")).otherwise(0)).over(alone))
+        rows = rows.withColumn("__took", F.col("__took") | F.col("__new"))
+    filler = ~F.col("__took") & (F.col("size") <= F.col("__room")) & (F.col("size") > 0)
+    largest = alone.orderBy(filler.cast("int").desc(), F.col("size").desc(), "__o", "__id", "__x")
+    extra = (F.col("__took") | (filler & (F.row_number().over(largest) == 1))).cast("int")
+    out = rows.withColumn("copies", F.least(F.col("__even") + extra, F.lit(most).cast("long")))
+    return safe.back(out.withColumn("taken", F.col("size") * F.col("copies"))), report

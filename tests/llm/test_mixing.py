@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 from collections import Counter
 
@@ -59,3 +61,58 @@ def test_nulls_repeats_and_empty(spark):
     assert report[None]["target"] == 6 and sum(r["taken"] for r in got) == 6
     got, report = mixed(spark, [])
     assert got == [] and report == {}
+
+
+def test_flow_against_all_allocations():
+    """Every way to route whole words, on small graphs: most words first, then
+    least cost, a pattern's k-th repetition of its words costing k a word."""
+    rng = random.Random(8)
+    for _ in range(30):
+        sources = "abc"[: rng.randint(1, 3)]
+        patterns = rng.sample([p for n in (1, 2, 3) for p in itertools.combinations(sources, n)], k=min(2, 2 ** len(sources) - 1))
+        capacity, quota = {p: rng.randint(0, 3) for p in patterns}, {s: rng.randint(0, 5) for s in sources}
+        arcs = [(p, s) for p in patterns for s in p]
+        best = None
+        for flow in itertools.product(*(range(min(2 * capacity[p], quota[s]) + 1) for p, s in arcs)):
+            used, into = Counter(), Counter()
+            for (p, s), n in zip(arcs, flow, strict=True):
+                used[p] += n
+                into[s] += n
+            if all(used[p] <= 2 * capacity[p] for p in patterns) and all(into[s] <= quota[s] for s in sources):
+                cost = sum(max(0, used[p] - capacity[p]) for p in patterns)
+                best = min(best or (0, 99), (-sum(flow), cost))
+        got = mixing.min_cost_flow(capacity, quota, 2)
+        used = Counter()
+        for (p, _), n in got.items():
+            used[p] += n
+        assert (-sum(got.values()), sum(max(0, used[p] - capacity[p]) for p in patterns)) == best
+
+
+def test_overlapping_sources(spark):
+    rows = [(i, "w " * (1 + i * 11 % 37), ["a", "b"] if i % 4 == 0 else ["a"] if i % 2 else ["b"]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, m array<string>")
+    out, report = mixing.mix(docs, F.col("m"), lambda s: [3, 1], total=9000)
+    taken = sum(r["taken"] for r in out.collect())
+    assert {s: x["routed"] for s, x in report.items()} == {"a": 6750, "b": 2250} and abs(taken - 9000) <= 3
+
+
+def test_a_very_long_text_at_the_cut_leaves_no_gap(spark, monkeypatch):
+    rng = random.Random(9)
+    for bucket in (8192, 256, 128):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+        rows = [(i, "w " * (5000 if i % 100 == 0 else rng.randint(1, 60)), "abcd"[i % 4], "") for i in range(1200)]
+        got, report = mixed(spark, rows)
+        taken = Counter()
+        for r in got:
+            taken[r["source"]] += r["taken"]
+        for s, x in report.items():
+            assert -1 < x["target"] - taken[s] < 12, (bucket, s, x, taken[s])
+
+
+def test_clashing_columns_and_too_many_patterns(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8)], "doc_id int, text string, source string, __q int, COPIES int")
+    out, _ = mixing.mix(docs, F.array("source"), source_weights)
+    assert out.columns == ["doc_id", "text", "source", "__q", "size", "taken", "copies"] and out.first()["__q"] == 7
+    monkeypatch.setattr(mixing, "PATTERNS", 0)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, F.array("source"), source_weights)
