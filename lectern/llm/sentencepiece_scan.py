@@ -20,7 +20,6 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -313,10 +312,12 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
             made = [vocabulary.transfer(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "size")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array([len(m) for m in made]), pa.array([m.tobytes() for m in made], pa.binary())], names=["row", "k", "n", "m"])
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        path = states([np.frombuffer(m).reshape(n, -1) for m, n in zip(group["m"], group["n"], strict=True)])
-        return pd.DataFrame({"row": group["row"], "k": group["k"], "entry": path[:-1], "exit": path[1:]})
+    def resolve(batches):
+        for batch in batches:
+            for row, chunks in zip(batch.column(0), batch.column(1), strict=True):
+                c = chunks.as_py()
+                path = states([np.frombuffer(x["m"]).reshape(x["n"], -1) for x in c])
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(c)), pa.array([x["k"] for x in c]), pa.array(path[:-1]), pa.array(path[1:])], names=["row", "k", "entry", "exit"])
 
     def traced(batches):
         vocabulary = _vocabulary(proto)
@@ -328,7 +329,9 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
     giants = rows.where(F.char_length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
     parts = checkpointed(giants.mapInArrow(split, f"row bigint, id {kind}, k bigint, a bigint, size bigint, n_chars bigint, part string").repartition("row", "k"))
     found = parts.select("row", "k", "a", "size", "part").mapInArrow(matrices, "row bigint, k bigint, n bigint, m binary")
-    path = found.groupBy("row").applyInPandas(resolve, "row bigint, k bigint, entry bigint, exit bigint")
+    # a document's matrices are some 300 bytes a chunk: one row holds them
+    found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "n", "m"))).alias("chunks"))
+    path = found.mapInArrow(resolve, "row bigint, k bigint, entry bigint, exit bigint")
     pieces = parts.join(path, ["row", "k"]).mapInArrow(traced, f"row bigint, id {kind}, k bigint, n_chars bigint, ids array<int>")
     whole = pieces.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"), F.first("n_chars").alias("n_chars"))
     long = whole.select("id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "n_chars")
