@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, attach, checkpointed, quoted, without
+from .common import LOWER, UPPER, attach, checkpointed, quoted, small_side, unused
 from .components import components
 
 OUT = ("fingerprint", "component_id")
@@ -23,6 +23,8 @@ BUCKET = 512
 #: By similarity: sets with fewer shingles are compared whatever their
 #: fingerprints; texts sampled, and shingles kept of them, to order by rarity.
 FEW, ORDER_SAMPLE, COMMON = 64, 4096, 100_000
+#: Rare shingles by which a text looks for similar ones.
+PROBES = 24
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -209,22 +211,30 @@ def near_groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return attach(grouped.select("c", "fp", "n"), smallest, ["c"], ["component_id"], "m", ["fp"]).select("fp", "component_id", "n")
 
 
-def _order(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """tokens by how often they were seen among the common ones (sorted), then by value."""
+def _order(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
+    """tokens by how often they were seen among the common ones (sorted), then by
+    value; and how many were never seen."""
     if not len(common):
-        return np.sort(tokens)
+        return np.sort(tokens), len(tokens)
     at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    return tokens[np.lexsort((tokens, np.where(common[at] == tokens, seen[at], 0)))]
+    times = np.where(common[at] == tokens, seen[at], 0)
+    return tokens[np.lexsort((tokens, times))], int((times == 0).sum())
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of them stays small."""
     for batch in batches:
-        near = []
-        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            x, y = a.values.to_numpy(), b.values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _probes(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles by which a set meets similar ones: the first of those that any
+    two such sets have to share, rare ones first. Where half of a set or more is
+    rare, PROBES of them will do."""
+    need = len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1
+    ordered, rare = _order(tokens, common, seen)
+    return ordered[: min(need, PROBES) if 2 * rare >= len(tokens) else need]
 
 
 def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
@@ -233,67 +243,64 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
     Links join the same components as all such pairs would.
 
     Two such sets share one of the first n - ceil(similarity * n) + 1 shingles in
-    any order that all texts use; here the ones rare in a sample come first,
-    which only saves work. Candidates agree in one of these, have fitting sizes
-    and, of FEW or more shingles, fingerprints within distance bits (over
-    distinct shingles); all are verified by their sets. First each text meets
-    the smallest node of each of its shingles, then only texts in different
-    components meet: a large group of near copies needs few comparisons.
+    any order that all texts use; here those rare in a sample come first, then
+    smaller hashes. Of a set that is half rare or more only PROBES are looked at:
+    of two sets with similarity 0.8, at least 0.6 of all rare shingles are in
+    both, so the PROBES smallest hashes of one set miss the other's with a chance
+    of 0.4 ** PROBES at most (3e-10), and mostly 0.2 ** PROBES.
+
+    Candidates agree in a probe, have fitting sizes and, of FEW or more shingles,
+    fingerprints within distance bits (over distinct shingles); all are verified
+    by their sets. First each text meets the smallest node of each of its probes,
+    then only texts in different components meet: a large group of near copies
+    needs few comparisons.
     """
-    spark = texts.sparkSession
     hashed = lambda t: np.unique(shingles(t, shingle)).view(np.int64)
 
     def tokens(batches):
-        for batch in batches:
+        for batch in _few(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    nodes = texts.select("node").distinct().count()
+    nodes = texts.agg(F.approx_count_distinct("node")).first()[0]
     part = texts if nodes <= ORDER_SAMPLE else texts.where(F.pmod(F.xxhash64("node"), F.lit(-(-nodes // ORDER_SAMPLE))) == 0)
-    often = part.mapInArrow(tokens, "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 2")
+    often = part.dropDuplicates(["node"]).mapInArrow(tokens, "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 2")
     # COMMON pairs of numbers at most, whatever the table holds
     rows = often.orderBy(F.desc("count"), "t").limit(COMMON).orderBy("t").collect()
     common, seen = np.array([r["t"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
 
     def features(batches):
-        for batch in batches:
+        for batch in _few(batches):
             sets = [hashed(t.as_py()) for t in batch.column(1)]
-            first = [_order(x, common, seen)[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+            first = [_probes(x, common, seen, similarity) for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(x.view(np.uint64)) for x in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "fp", "n", "first"])
 
     made = checkpointed(texts.mapInArrow(features, "node bigint, fp bigint, n bigint, first array<bigint>").dropDuplicates(["node"]))
-    rows = made.select("node", F.explode("first").alias("t"))
-    met = rows.groupBy("t").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = checkpointed(attach(rows, met, ["t"], ["head"], "m", ["node"]).where("head IS NOT NULL").select("t", "node", "head"))
-    one = made.select("node", "n", "fp")
+    text = F.struct("node", "n", "fp")
+    probes = made.select(text.alias("v"), F.explode("first").alias("t"))
+    met = probes.groupBy("t").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    probes = checkpointed(attach(probes, met, ["t"], ["u"], "m", ["v"]).where("u IS NOT NULL").select("t", "u", "v"))
+    fits = F.least("u.n", "v.n") >= similarity * F.greatest("u.n", "v.n") - 1e-9
+    fits &= (F.least("u.n", "v.n") < FEW) | (F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= distance)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are similar."""
-        for c in "uv":
-            uses = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m"))
-            known = uses.join(one.withColumnRenamed("node", c), c).withColumnsRenamed({"n": f"n{c}", "fp": f"f{c}"})
-            pairs = attach(pairs, known, [c], [f"n{c}", f"f{c}"], "m", ["v" if c == "u" else "u"]).drop("__s")
-        size = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9
-        bits = (F.least("nu", "nv") < FEW) | (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= distance)
-        pairs = checkpointed(pairs.where(size & bits).select("u", "v"))
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        sets = checkpointed(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(tokens, "node bigint, tokens array<bigint>"))
+        pairs = checkpointed(pairs.where(fits).select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct())
+        wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        sets = checkpointed(texts.join(small_side(wanted), "node", "left_semi").mapInArrow(tokens, "node bigint, tokens array<bigint>").dropDuplicates(["node"]))
         for c, name in zip("uv", "ab", strict=True):
             known = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m")).join(sets.select(F.col("node").alias(c), F.col("tokens").alias(name)), c)
             pairs = attach(pairs, known, [c], [name], "m", ["v" if c == "u" else "u"]).drop("__s")
-        return checkpointed(pairs.select("u", "v", "a", "b").mapInArrow(lambda x: _jaccard(x, similarity), "u bigint, v bigint"))
-
-    links = verified(rows.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
-    joined = components(links).select("node", "component")
-    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    rows = rows.drop("head").join(joined.where(F.col("node") != F.col("component")), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    open_ones = rows.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    rows = attach(rows, open_ones, ["t"], ["low"], "m", ["node"]).where("low IS NOT NULL").select("t", "node", "c").join(one, "node")
-    rows = checkpointed(rows)
-    u, v = (rows.select("t", *[F.col(x).alias(x + k) for x in ("node", "c", "n", "fp")]) for k in "uv")
-    near = (F.col("nodeu") < F.col("nodev")) & (F.col("cu") != F.col("cv")) & (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
-    near &= (F.least("nu", "nv") < FEW) | (F.bit_count(F.col("fpu").bitwiseXOR(F.col("fpv"))) <= distance)
-    others = u.join(v, "t").where(near).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct()
-    return made.select("node", "fp"), links.unionByName(verified(others))
+        both = F.size(F.array_intersect("a", "b"))
+        return checkpointed(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
+
+    links = verified(probes.where(F.col("u.node") != F.col("v.node")))
+    joined = checkpointed(components(links).where("node <> component"))
+    # texts whose probes all lead to one component need no further comparison
+    probes = probes.join(small_side(joined), F.col("v.node") == F.col("node"), "left").select("t", "v", F.coalesce("component", "v.node").alias("c"))
+    open_ones = probes.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    probes = checkpointed(attach(probes, open_ones, ["t"], ["low"], "m", ["v"]).where("low IS NOT NULL").select("t", "v", "c"))
+    apart = probes.select("t", F.col("v").alias("u"), F.col("c").alias("d")).join(probes, "t").where((F.col("u.node") < F.col("v.node")) & (F.col("c") != F.col("d")))
+    return made.select("node", "fp"), links.unionByName(verified(apart.select("u", "v")))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, similarity: float) -> DataFrame:
@@ -331,7 +338,12 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """docs, less all but the smallest id of each component. Rows without an id
-    can't be named as another's copy, and stay; so do repeats of the id kept."""
-    dropped = simhash(docs, id_col, text_col, distance, shingle, similarity).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(dropped, quoted(id_col) == F.col("__gone"), "left_anti")
+    """docs, less all but the smallest id of each component.
+
+    Defined results: rows without an id can't be named as another's copy, and
+    stay; so do repeats of the id kept; null and blank texts are copies of each
+    other; other columns pass through; an empty table gives an empty table.
+    """
+    found = simhash(docs, id_col, text_col, distance, shingle, similarity)
+    gone = checkpointed(found.where(quoted(id_col) != F.col("component_id")).select(quoted(id_col).alias(unused("gone", docs))).distinct())
+    return docs.join(small_side(gone), quoted(id_col) == quoted(gone.columns[0]), "left_anti")

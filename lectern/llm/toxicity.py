@@ -53,7 +53,7 @@ class Model:
 
     def weight(self, word: str) -> float:
         if (w := self.known.get(word)) is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             w = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word.strip(PUNCTUATION)) if word)
         return w
