@@ -77,15 +77,18 @@ def body_text(b: Column) -> Column:
 # -- what every rule reads -------------------------------------------------
 
 
+def language(prose: Column) -> Column:
+    """zh or en, by the share of CJK characters in the readable text of blocks."""
+    zh, en = (F.aggregate(F.transform(prose, f), F.lit(0), lambda a, x: a + x) for f in (T.cjk_chars, T.latin_words))
+    return F.when(zh / F.greatest(zh + en, F.lit(1)) > 0.30, "zh").otherwise("en")
+
+
 def prepare(docs: DataFrame) -> DataFrame:
     """parse(docs) plus lang, body (blocks with prose, units and sentences),
     heads and the document's totals, each computed once."""
     rows = parse(docs).withColumn("body", F.filter("blocks", lambda b: b["kind"] != "frontmatter"))
     rows = rows.withColumn("prose", F.transform("body", lambda b: T.prose(b)))
-    zh, en = (F.aggregate(F.transform("prose", f), F.lit(0), lambda a, x: a + x) for f in (T.cjk_chars, T.latin_words))
-    rows = rows.withColumns({"n_cjk": zh, "n_latin": en})
-    share = F.when(F.col("n_cjk") + F.col("n_latin") > 0, F.col("n_cjk") / (F.col("n_cjk") + F.col("n_latin"))).otherwise(0)
-    rows = rows.withColumn("lang", F.when(share > 0.30, "zh").otherwise("en"))
+    rows = rows.withColumn("lang", language(F.col("prose")))
     lang = F.col("lang")
     flat = lambda p: F.when(lang == "zh", T.sub(p, "\n+", "")).otherwise(T.sub(p, "\n+", " "))
     extra = lambda b, p: F.struct(
@@ -186,7 +189,7 @@ def dashes(c) -> Column:
 
 @rule(DOCUMENT, "M10")
 def metaphor(c) -> Column:
-    found = F.flatten(F.transform(F.filter(c["body"], lambda b: b["kind"] != "code"), lambda b: F.transform(lines_at(b["lines"], lambda x, _: x.rlike(C.METAPHOR) & T.matches(T.unquoted(x), C.METAPHOR)), lambda i: b["start"] + i)))
+    found = F.flatten(F.transform(F.filter(c["body"], lambda b: b["kind"] != "code"), lambda b: F.transform(lines_at(b["lines"], lambda x, _: T.matches(x, C.METAPHOR) & T.matches(T.unquoted(x), C.METAPHOR)), lambda i: b["start"] + i)))
     return once("M10", F.size(found) > 0, F.get(found, F.lit(0)))
 
 
@@ -406,19 +409,33 @@ def audit(docs: DataFrame, level: int = 2, emoji: str = "none", strict_compat: b
         return F.coalesce(F.flatten(per), none())
 
     def linewise(b: Column) -> Column:
-        views = F.transform(b["lines"], lambda x: F.struct(x.alias("raw"), F.lower(T.strip_inline(x)).alias("plain"), T.protect(x).alias("safe"), T.unquoted(x).alias("open"), F.lower(T.unquoted(x)).alias("low"), T.matches(x, f"[{C.CJK}]").alias("han"), x.rlike("[，、]").alias("pairs")))
+        views = F.transform(b["lines"], lambda x: F.struct(x.alias("raw"), F.lower(T.strip_inline(x)).alias("plain"), T.protect(x).alias("safe"), T.unquoted(x).alias("open"), F.lower(T.unquoted(x)).alias("low"), T.matches(x, f"[{C.CJK}]").alias("han"), T.matches(x, "[，、]").alias("pairs")))
         rules = [*LINE.values()] + ([] if strict_compat else [link_rules])
         return F.when(b["kind"] == "code", none()).otherwise(F.flatten(F.transform(views, lambda v, i: F.concat(*[f(v, b["start"] + i, c) for f in rules]))))
 
     parts = [F.concat(*[f(c) for f in DOCUMENT.values()]), *[F.flatten(F.transform("body", f)) for f in (blockwise, sentencewise, linewise)]]
-    return rows.withColumn("findings", F.concat(*[F.coalesce(p, none()) for p in parts])).drop("blocks", "lines", "body", "heads", "sections", "bold", "solid", "n_cjk", "n_latin")
+    return rows.withColumn("findings", F.concat(*[F.coalesce(p, none()) for p in parts])).drop("blocks", "lines", "body", "heads", "sections", "bold", "solid")
+
+
+AXES = {r[0]: r[4] for r in C.RULES} | dict.fromkeys([*C.GLOBAL_RULES, "M10"], "F") | {"M2": "C", "M10": "C"}
+
+
+def _looked_up(table: dict[str, str], rule: Column, missing: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), rule), F.lit(missing))
+
+
+def axis(rule: Column) -> Column:
+    """F (form) or C (content)."""
+    return _looked_up(AXES, rule, "?")
+
+
+def message(rule: Column) -> Column:
+    return _looked_up(C.MESSAGES, rule, "")
 
 
 def findings(audited: DataFrame) -> DataFrame:
-    """doc_id, rule, line, axis, advisory: a row per finding."""
-    axis = {r[0]: r[4] for r in map(str.split, C.RULES.strip().splitlines())} | dict.fromkeys([*C.GLOBAL_RULES, "M2", "M10"], "F") | {"M2": "C", "M10": "C"}
-    table = F.create_map(*[F.lit(x) for kv in axis.items() for x in kv])
+    """doc_id, rule, line, axis, advisory, message: a row per finding."""
     # outer: else a filter on the array's size would be pushed through all the
     # projections below, each time with its whole expression
     rows = audited.select("doc_id", F.inline_outer("findings")).where(F.col("rule").isNotNull())
-    return rows.withColumns({"axis": F.coalesce(F.try_element_at(table, F.col("rule")), F.lit("?")), "advisory": F.col("rule").isin(*C.ADVISORY)})
+    return rows.withColumns({"axis": axis(F.col("rule")), "advisory": F.col("rule").isin(*C.ADVISORY), "message": message(F.col("rule"))})

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CJK, MARKS
-from .parse import HEADING, ITEM, RULE, Scanner
+from ..functions import text as T
+from .audit import language
+from .parse import BLOCK, FENCE, HEADING, ITEM, RULE, Scanner, blocks_of
 
 KEPT = re.compile(r"(`+[^`\n]*?`+|\]\([^)]*\)|</?[A-Za-z][^>]*>|(?<![(\w])https?://\S+)")
 NUMBERED = re.compile(r"(\s*)\d+([.)])\s+(.*)\Z")
@@ -99,7 +101,7 @@ def spaced(lines: Tagged) -> list[str]:
             blank = True
         else:
             above = out[-1] if out else ""
-            begins = HEADING.match(line) or RULE.match(line)
+            begins = HEADING.match(line) or RULE.match(line) or FENCE.match(line)  # a fence within a list
             list_begins = ITEM.match(line) and not ITEM.match(above) and not above.startswith((" ", "\t"))
             if above.strip() and (begins or list_begins or HEADING.match(above)):
                 out.append("")
@@ -111,7 +113,7 @@ def spaced(lines: Tagged) -> list[str]:
 
 
 def with_contents(lines: list[str]) -> list[str]:
-    found = [b for b in Scanner("\n".join(lines) + "\n").blocks() if b["kind"] != "frontmatter"]
+    found = Scanner("\n".join(lines) + "\n").blocks()
     toc = any(b["kind"] == "list" and sum("](#" in x for x in b["lines"]) >= 2 for b in found[:12])
     parts = [b for b in found if b["kind"] == "heading" and b["level"] == 2]
     if toc or len(parts) < 3 or parts[0]["start"] == 1:
@@ -125,16 +127,8 @@ def with_contents(lines: list[str]) -> list[str]:
     return [*lines[:at], *entries, "", *lines[at:]]
 
 
-def is_chinese(text: str) -> bool:
-    prose = "\n".join("\n".join(b["lines"]) for b in Scanner(text).blocks() if not verbatim(b["kind"]))
-    prose = re.sub(r"`+[^`\n]*?`+|</?[A-Za-z][^>]*>", " ", re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", prose))
-    cjk, latin = len(re.findall(f"[{CJK}]", prose)), len(re.findall("[A-Za-z][A-Za-z'’-]*", prose))
-    return cjk > 0.30 * (cjk + latin)
-
-
-def rewrite(text: str | None, toc: bool = False, join_cjk: bool = False, strip_emoji: bool = False) -> str:
+def rewrite(text: str | None, chinese: bool = False, toc: bool = False, join_cjk: bool = False, strip_emoji: bool = False) -> str:
     text = re.sub("\r\n?", "\n", text or "")
-    chinese = is_chinese(text)
     lines = renumbered(list(trailing(tagged(Scanner(text).lines))))
     if chinese or strip_emoji:
         new = []
@@ -151,15 +145,20 @@ def rewrite(text: str | None, toc: bool = False, join_cjk: bool = False, strip_e
 
 def fmt(docs: DataFrame, toc: bool = False, join_cjk: bool = False, strip_emoji: bool = False, diff: bool = False) -> DataFrame:
     """docs (doc_id, raw) plus formatted, changed and, if asked for, a unified
-    diff. Inputs are never overwritten: write the result elsewhere."""
+    diff. Inputs are never overwritten: write the result elsewhere. A document's
+    language is what the audit finds."""
 
-    def new(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda t: rewrite(t, toc, join_cjk, strip_emoji))
+    def new(raw: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([rewrite(t, x == "zh", toc, join_cjk, strip_emoji) for t, x in zip(raw, lang, strict=True)])
 
     def compare(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(difflib.unified_diff((a or "").splitlines(), b.splitlines(), "before", "after", lineterm="")) for a, b in zip(old, new, strict=True)])
 
-    out = docs.withColumn("formatted", F.pandas_udf(new, "string")("raw")).withColumn("changed", ~F.col("raw").eqNullSafe(F.col("formatted")))
+    # text without CJK characters is en, and needs no parsing to know
+    text = F.when(T.matches(F.col("raw"), f"[{CJK}]"), F.regexp_replace("raw", "\r\n?", "\n"))
+    rows = docs.withColumn("__prose", F.transform(F.pandas_udf(blocks_of, f"array<{BLOCK}>")(text), lambda b: T.prose(b)))
+    out = rows.withColumn("formatted", F.pandas_udf(new, "string")("raw", language(F.col("__prose")))).drop("__prose")
+    out = out.withColumn("changed", ~F.col("raw").eqNullSafe(F.col("formatted")))
     return out.withColumn("diff", F.pandas_udf(compare, "string")("raw", "formatted")) if diff else out
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import band
+from .audit import axis, message
 
-TABLE = [(r, d, int(p), int(cap)) for r, d, p, cap, _ in map(str.split, C.RULES.strip().splitlines())]
 
 
 def hits(rule: str) -> Column:
@@ -21,17 +21,22 @@ def hits(rule: str) -> Column:
 
 
 def dimension(name: str) -> Column:
-    return F.greatest(F.lit(0), F.lit(100) - sum(F.least(hits(r) * per, F.lit(cap)) for r, d, per, cap in TABLE if d == name))
+    return F.greatest(F.lit(0), F.lit(100) - sum(F.least(hits(r) * per, F.lit(cap)) for r, d, per, cap, _ in C.RULES if d == name))
 
 
-def score(audited: DataFrame) -> DataFrame:
-    """doc_id, a column per dimension (0 to 100), x_deduct, total_hundredths
+def scored(audited: DataFrame) -> DataFrame:
+    """audited plus a column per dimension (0 to 100), x_deduct, total_hundredths
     (exact; round for display only), band and n_findings."""
     x = F.least(F.lit(C.GLOBAL_CAP), sum(F.when(hits(r) > 0, points).otherwise(0) for r, points in C.GLOBAL_RULES.items()))
     rows = audited.withColumns({n: dimension(n).cast("int") for n in C.DIMENSIONS} | {"x_deduct": x.cast("int")})
     total = sum(F.col(n) * w for n, w in C.DIMENSIONS.items()) - 100 * F.col("x_deduct")
     rows = rows.withColumn("total_hundredths", F.least(F.greatest(total, F.lit(0)), F.lit(10000)).cast("long"))
-    return rows.select("doc_id", *C.DIMENSIONS, "x_deduct", "total_hundredths", band(F.col("total_hundredths")).alias("band"), F.size("findings").cast("long").alias("n_findings"))
+    return rows.withColumns({"band": band(F.col("total_hundredths")), "n_findings": F.size("findings").cast("long")})
+
+
+def score(audited: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns of scored() and those to keep."""
+    return scored(audited).select("doc_id", *C.DIMENSIONS, "x_deduct", "total_hundredths", "band", "n_findings", *keep)
 
 
 def dim_scores(scores: DataFrame) -> DataFrame:
@@ -46,9 +51,15 @@ def gate(scores: DataFrame, min_score: float) -> DataFrame:
     return scores.agg(worst.alias("worst_hundredths"), (F.coalesce(worst, F.lit(10000)) >= round(min_score * 100)).alias("passes"))
 
 
-def as_json(scores: DataFrame) -> DataFrame:
-    """doc_id and a JSON object of the score, with the rules left unscored."""
-    return scores.select("doc_id", F.to_json(F.struct((F.col("total_hundredths") / 100).alias("total"), "band", F.struct(*C.DIMENSIONS).alias("dims"), "x_deduct", "n_findings", F.array(*map(F.lit, C.JUDGE_ONLY)).alias("unscored"))).alias("json"))
+def as_json(audited: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and a JSON object: path (a column's name), lang, lines, the score
+    with its dimensions, global rules hit and rules left unscored, and all findings."""
+    x_hits = F.filter(F.array(*[F.when(hits(r) > 0, F.lit(r)) for r in C.GLOBAL_RULES]), lambda r: r.isNotNull())
+    dims = F.struct(*[F.struct(F.lit(w).alias("weight"), F.col(n).alias("score")).alias(n) for n, w in C.DIMENSIONS.items()])
+    total = F.struct((F.col("total_hundredths") / 100).alias("total"), "band", dims.alias("dims"), "x_deduct", x_hits.alias("x_hits"), F.array(*map(F.lit, C.JUDGE_ONLY)).alias("unscored"), F.lit(True).alias("det_only"))
+    found = F.transform("findings", lambda f: F.struct(f["rule"].alias("rule"), f["line"].alias("line"), message(f["rule"]).alias("msg"), axis(f["rule"]).alias("axis"), f["rule"].isin(*C.ADVISORY).alias("advisory")))
+    whole = F.struct((F.col(path) if path else F.lit("")).alias("path"), "lang", F.col("n_lines").alias("lines"), total.alias("score"), found.alias("findings"))
+    return scored(audited).select("doc_id", F.to_json(whole).alias("json"))
 
 
 def top_rules(findings: DataFrame, per_rule: int = 3) -> DataFrame:
