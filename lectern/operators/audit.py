@@ -151,23 +151,21 @@ def lead(c) -> Column:
 
 
 def concluded(c) -> Column:
-    named = F.exists(lead(c), lambda b: T.matches(body_text(b), C.TLDR))
-    telling = F.filter(lead(c), lambda b: (b["kind"] == "list") & ~b["toc"] | (is_prose(b) & ~T.matches(b["prose"], C.BACKGROUND)))
+    telling = F.filter(c["lead"], lambda b: (b["kind"] == "list") & ~b["toc"] | (is_prose(b) & ~T.matches(b["prose"], C.BACKGROUND)))
     first = F.get(telling, F.lit(0))
     short = F.when(first["kind"] == "list", F.size(first["items"]) <= 5).otherwise((F.size(T.sentences(first["prose"], c["lang"])) <= 3) & (first["units"] <= limit("lead", c["lang"])))
-    return named | F.coalesce(short, F.lit(False))
+    return c["named"] | F.coalesce(short, F.lit(False))
 
 
 @rule(DOCUMENT, "H1")
 def no_conclusion(c) -> Column:
-    return once("H1", ~concluded(c), F.lit(1))
+    return once("H1", ~c["concluded"], F.lit(1))
 
 
 @rule(DOCUMENT, "H2")
 def long_conclusion(c) -> Column:
-    named = F.exists(lead(c), lambda b: T.matches(body_text(b), C.TLDR))
-    over = F.filter(lead(c), lambda b: ((b["kind"] == "list") & ~b["toc"] & (F.size(b["items"]) > 5)) | ((b["kind"] == "para") & (b["units"] > limit("tldr", c["lang"])) & named))
-    return once("H2", concluded(c) & (F.size(over) > 0), F.get(over, F.lit(0))["start"])
+    over = F.filter(c["lead"], lambda b: ((b["kind"] == "list") & ~b["toc"] & (F.size(b["items"]) > 5)) | ((b["kind"] == "para") & (b["units"] > limit("tldr", c["lang"])) & c["named"]))
+    return once("H2", c["concluded"] & (F.size(over) > 0), F.get(over, F.lit(0))["start"])
 
 
 @rule(DOCUMENT, "W1m")
@@ -398,7 +396,11 @@ def audit(docs: DataFrame, level: int = 2, emoji: str = "none", strict_compat: b
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(value))
     rows = prepare(docs)
-    c = {n: F.col(n) for n in ("raw", "lines", "n_lines", "body", "heads", "n_heads", "sections", "bold", "solid", "lang", "level", "emoji")}
+    c = {n: F.col(n) for n in ("raw", "lines", "n_lines", "body", "heads", "n_heads", "sections", "bold", "solid", "lang", "level", "emoji", "lead", "named", "concluded")}
+    # what rules share is a column, so that it is computed once
+    rows = rows.withColumn("lead", lead(c))
+    rows = rows.withColumn("named", F.exists("lead", lambda b: T.matches(body_text(b), C.TLDR)))
+    rows = rows.withColumn("concluded", concluded(c))
 
     def blockwise(b: Column) -> Column:
         own = {n: b[n] for n in ("kind", "start", "lines", "closed", "cols", "rows", "items", "prose", "units", "toc", "sentences")} | {"block_lang": b["lang"]}
@@ -409,12 +411,16 @@ def audit(docs: DataFrame, level: int = 2, emoji: str = "none", strict_compat: b
         return F.coalesce(F.flatten(per), none())
 
     def linewise(b: Column) -> Column:
-        views = F.transform(b["lines"], lambda x: F.struct(x.alias("raw"), F.lower(T.strip_inline(x)).alias("plain"), T.protect(x).alias("safe"), T.unquoted(x).alias("open"), F.lower(T.unquoted(x)).alias("low"), T.matches(x, f"[{C.CJK}]").alias("han"), T.matches(x, "[，、]").alias("pairs")))
+        # in three steps, each view made of the one before
+        views = F.transform(b["lines"], lambda x: F.struct(x.alias("raw"), T.protect(x).alias("safe")))
+        views = F.transform(views, lambda v: F.struct(v["raw"].alias("raw"), v["safe"].alias("safe"), T.sub(v["safe"], C.QUOTED, "  ").alias("open")))
+        han, pairs = lambda x: T.matches(x, f"[{C.CJK}]"), lambda x: T.matches(x, "[，、]")
+        views = F.transform(views, lambda v: v.withField("plain", F.lower(T.strip_inline(v["raw"]))).withField("low", F.lower(v["open"])).withField("han", han(v["raw"])).withField("pairs", pairs(v["raw"])))
         rules = [*LINE.values()] + ([] if strict_compat else [link_rules])
         return F.when(b["kind"] == "code", none()).otherwise(F.flatten(F.transform(views, lambda v, i: F.concat(*[f(v, b["start"] + i, c) for f in rules]))))
 
     parts = [F.concat(*[f(c) for f in DOCUMENT.values()]), *[F.flatten(F.transform("body", f)) for f in (blockwise, sentencewise, linewise)]]
-    return rows.withColumn("findings", F.concat(*[F.coalesce(p, none()) for p in parts])).drop("blocks", "lines", "body", "heads", "sections", "bold", "solid")
+    return rows.withColumn("findings", F.concat(*[F.coalesce(p, none()) for p in parts])).drop("blocks", "lines", "body", "heads", "sections", "bold", "solid", "lead", "named", "concluded")
 
 
 AXES = {r[0]: r[4] for r in C.RULES} | dict.fromkeys([*C.GLOBAL_RULES, "M10"], "F") | {"M2": "C", "M10": "C"}
