@@ -231,7 +231,9 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
 def _probes(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
     """The shingles by which a set meets similar ones: the first of those that any
     two such sets have to share, rare ones first. Where half of a set or more is
-    rare, PROBES of them will do."""
+    rare, PROBES of them will do. Empty sets, alike all, meet by a probe of 0."""
+    if not len(tokens):
+        return np.zeros(1, np.int64)
     need = len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1
     ordered, rare = _order(tokens, common, seen)
     return ordered[: min(need, PROBES) if 2 * rare >= len(tokens) else need]
