@@ -134,6 +134,15 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
 FROM embeddings
 """
 
+#: For pages like those of the given table, whose article is the only one and ends
+#: its blocks by tags: what stands between its tags.
+_OP4_SQL = r"""
+WITH inside AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<br>', ' ', 'g') AS t FROM pages),
+parts AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '(<[^>]+>)+', chr(10), 'g'), chr(10)) AS lines FROM inside),
+plain AS (SELECT page_id, url, list_transform(lines, lambda x: trim(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'))) AS lines FROM parts)
+SELECT page_id, url, array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10))) AS n_chars FROM plain
+"""
+
 _OP7_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -176,4 +185,4 @@ FROM t WINDOW w AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op3_embedding_dedup": _OP3_SQL, "op7_chat_format": _OP7_SQL, "op8_sharding": _op8_sql(), "op10_exact_dedup": _OP10_SQL}
+    return {"op1_url_filter": _op1_sql(), "op3_embedding_dedup": _OP3_SQL, "op4_html_text": _OP4_SQL, "op7_chat_format": _OP7_SQL, "op8_sharding": _op8_sql(), "op10_exact_dedup": _OP10_SQL}
