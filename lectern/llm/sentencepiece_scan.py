@@ -287,8 +287,6 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
     proto = _proto(model)
     rows = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    chunk = max(chunk, 2 * _vocabulary(proto).longest + 2)
-
     def plain(batches):
         vocabulary = _vocabulary(proto)
         for batch in _slices(batches):
@@ -300,7 +298,7 @@ def encode(docs: DataFrame, model: str | bytes, id_col: str = "doc_id", text_col
         for batch in batches:
             for r in range(batch.num_rows):
                 text = " " + batch.column(1)[r].as_py()
-                for k, (part, a, size) in enumerate(vocabulary.parts(text, chunk)):
+                for k, (part, a, size) in enumerate(vocabulary.parts(text, max(chunk, 2 * vocabulary.longest + 2))):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(2).slice(r, 1), batch.column(0).slice(r, 1), pa.array([k]), pa.array([a]), pa.array([size]), pa.array([len(text) - 1]), pa.array([part], pa.string())],
                         names=["row", "id", "k", "a", "size", "n_chars", "part"],

@@ -20,9 +20,11 @@ BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 #: A bucket with more fingerprints is split by further bits. Five splits leave
 #: fewer than nine free bits, so no bucket can stay larger.
 BUCKET = 512
-#: By similarity: sets with fewer shingles are compared whatever their
-#: fingerprints; texts sampled, and shingles kept of them, to order by rarity.
-FEW, ORDER_SAMPLE, COMMON = 64, 4096, 100_000
+#: By similarity: sets with fewer shingles are compared whatever their fingerprints.
+FEW = 64
+#: One text in so many (all of a small table) tells which shingles are common, and
+#: how many of these, the most frequent ones, are sent to all tasks (4 MB).
+ORDER_SHARE, SMALL, COMMON = 8, 4096, 1 << 18
 #: Rare shingles by which a text looks for similar ones.
 PROBES = 24
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -264,11 +266,11 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashed(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "tokens"])
 
     nodes = texts.agg(F.approx_count_distinct("node")).first()[0]
-    part = texts if nodes <= ORDER_SAMPLE else texts.where(F.pmod(F.xxhash64("node"), F.lit(-(-nodes // ORDER_SAMPLE))) == 0)
-    often = part.dropDuplicates(["node"]).mapInArrow(tokens, "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 2")
+    part = texts if nodes <= SMALL else texts.where(F.pmod(F.xxhash64("node"), F.lit(ORDER_SHARE)) == 0)
+    often = part.mapInArrow(tokens, "node bigint, tokens array<bigint>").select(F.explode("tokens").alias("t")).groupBy("t").count().where("count > 2")
     # COMMON pairs of numbers at most, whatever the table holds
-    rows = often.orderBy(F.desc("count"), "t").limit(COMMON).orderBy("t").collect()
-    common, seen = np.array([r["t"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64)
+    most = often.orderBy(F.desc("count"), "t").limit(COMMON).toArrow().sort_by("t")
+    common, seen = most["t"].to_numpy(), most["count"].to_numpy()
 
     def features(batches):
         for batch in _few(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -97,14 +98,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, rate: float = 0.5
     odds = {f: math.log((n + 0.1) / (toxic + 0.2)) - math.log((clean[f] + 0.5) / (len(labels) - toxic + 1)) for f, n in in_one.items() if n >= max(3, toxic / 100)}
     chosen = sorted((f for f in odds if odds[f] > 1.5), key=lambda f: (-in_one[f] * odds[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
-    feature, sentence, owner = [], [], []
+    feature, sentence, owner = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         for s in SENTENCE.findall(t):
             if hit := {place[f] for w in words(s) for f in features(w) if f in place}:
-                feature += hit
-                sentence += [len(owner)] * len(hit)
+                feature.extend(hit)
+                sentence.extend([len(owner)] * len(hit))
                 owner.append(d)
-    feature, sentence, owner = (np.array(x, np.int64) for x in (feature, sentence, owner))
+    feature, sentence, owner = (np.array(x, np.int32) for x in (feature, sentence, owner))
     y = np.array(labels, float)
     bare = np.ones(len(y), bool)
     bare[owner] = False
