@@ -25,8 +25,10 @@ FEW = 64
 #: One text in so many (all of a small table) tells which shingles are common, and
 #: how many of these, the most frequent ones, are sent to all tasks (4 MB).
 ORDER_SHARE, SMALL, COMMON = 8, 4096, 1 << 18
-#: Rare shingles by which a text looks for similar ones.
+#: Rare shingles by which a text looks for similar ones at first.
 PROBES = 24
+#: Bits of a set's parities, and open shingles that may be broadcast.
+PARITIES, OPEN = 2048, 1 << 18
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -230,15 +232,23 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
             yield batch.slice(at, rows)
 
 
-def _probes(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles by which a set meets similar ones: the first of those that any
-    two such sets have to share, rare ones first. Where half of a set or more is
-    rare, PROBES of them will do. Empty sets, alike all, meet by a probe of 0."""
+def _probes(tokens: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The shingles by which a set meets similar ones, rare ones first: the prefix
+    of which any two such sets share one; and how many of them to look at first:
+    PROBES where half of a set or more is rare, else all. Empty sets, alike all,
+    meet by a probe of 0."""
     if not len(tokens):
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), 1
     need = len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1
     ordered, rare = _order(tokens, common, seen)
-    return ordered[: min(need, PROBES) if 2 * rare >= len(tokens) else need]
+    return ordered[:need], min(need, PROBES) if 2 * rare >= len(tokens) else need
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall to each of PARITIES places, modulo two, as
+    longs. Two sets differ in at least as many shingles as their parities do in bits."""
+    odd = np.bincount((tokens.view(np.uint64) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
@@ -248,16 +258,14 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
 
     Two such sets share one of the first n - ceil(similarity * n) + 1 shingles in
     any order that all texts use; here those rare in a sample come first, then
-    smaller hashes. Of a set that is half rare or more only PROBES are looked at:
-    of two sets with similarity 0.8, at least 0.6 of all rare shingles are in
-    both, so the PROBES smallest hashes of one set miss the other's with a chance
-    of 0.4 ** PROBES at most (3e-10), and mostly 0.2 ** PROBES.
-
-    Candidates agree in a probe, have fitting sizes and, of FEW or more shingles,
-    fingerprints within distance bits (over distinct shingles); all are verified
-    by their sets. First each text meets the smallest node of each of its probes,
-    then only texts in different components meet: a large group of near copies
-    needs few comparisons.
+    smaller hashes.
+
+    First each text meets the smallest node of each of its probes (some of that
+    prefix), if sizes fit and, of FEW or more shingles, fingerprints are within
+    distance bits: a large group of near copies needs few comparisons. What that
+    leaves out is made up for: all texts in different components that share any
+    shingle of their whole prefixes meet, unless sizes or parities, which are
+    exact bounds, rule them out. All candidates are verified by their sets.
     """
     hashed = lambda t: np.unique(shingles(t, shingle)).view(np.int64)
 
@@ -276,35 +284,65 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
         for batch in _few(batches):
             sets = [hashed(t.as_py()) for t in batch.column(1)]
             first = [_probes(x, common, seen, similarity) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(x.view(np.uint64)) for x in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "fp", "n", "first"])
-
-    made = checkpointed(texts.mapInArrow(features, "node bigint, fp bigint, n bigint, first array<bigint>").dropDuplicates(["node"]))
+            odd = [parities(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([majority(x.view(np.uint64)) for x in sets], pa.int64()),
+                    pa.array(map(len, sets), pa.int64()),
+                    pa.array([x for x, _ in first], pa.list_(pa.int64())),
+                    pa.array([k for _, k in first], pa.int32()),
+                    pa.array([int(np.bitwise_xor.reduce(x)) for x in odd], pa.int64()),
+                    pa.array(odd, pa.list_(pa.int64())),
+                ],
+                names=["node", "fp", "n", "first", "k", "fold", "odd"],
+            )
+
+    kinds = "node bigint, fp bigint, n bigint, first array<bigint>, k int, fold bigint, odd array<bigint>"
+    made = checkpointed(texts.mapInArrow(features, kinds).dropDuplicates(["node"]))
     text = F.struct("node", "n", "fp")
-    probes = made.select(text.alias("v"), F.explode("first").alias("t"))
+    probes = made.select(text.alias("v"), F.explode(F.slice("first", F.lit(1), F.col("k"))).alias("t"))
     met = probes.groupBy("t").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    probes = checkpointed(attach(probes, met, ["t"], ["u"], "m", ["v"]).where("u IS NOT NULL").select("t", "u", "v"))
+    probes = attach(probes, met, ["t"], ["u"], "m", ["v"]).where("u IS NOT NULL").select("u", "v")
     fits = F.least("u.n", "v.n") >= similarity * F.greatest("u.n", "v.n") - 1e-9
     fits &= (F.least("u.n", "v.n") < FEW) | (F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp"))) <= distance)
 
+    def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        """pairs (u, v) with a and b: the value that table has for each."""
+        for c, name in zip("uv", "ab", strict=True):
+            known = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m")).join(table.select(F.col("node").alias(c), F.col(value).alias(name)), c)
+            pairs = attach(pairs, known, [c], [name], "m", ["v" if c == "u" else "u"]).drop("__s")
+        return pairs
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that are similar."""
-        pairs = checkpointed(pairs.where(fits).select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct())
+        """The pairs (u, v; checkpointed) that are similar."""
         wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         sets = checkpointed(texts.join(small_side(wanted), "node", "left_semi").mapInArrow(tokens, "node bigint, tokens array<bigint>").dropDuplicates(["node"]))
-        for c, name in zip("uv", "ab", strict=True):
-            known = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("m")).join(sets.select(F.col("node").alias(c), F.col("tokens").alias(name)), c)
-            pairs = attach(pairs, known, [c], [name], "m", ["v" if c == "u" else "u"]).drop("__s")
         both = F.size(F.array_intersect("a", "b"))
-        return checkpointed(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
+        return checkpointed(beside(pairs, sets, "tokens").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
 
-    links = verified(probes.where(F.col("u.node") != F.col("v.node")))
+    stars = probes.where(F.col("u.node") != F.col("v.node")).where(fits).select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
+    links = verified(checkpointed(stars.distinct()))
     joined = checkpointed(components(links).where("node <> component"))
-    # texts whose probes all lead to one component need no further comparison
-    probes = probes.join(small_side(joined), F.col("v.node") == F.col("node"), "left").select("t", "v", F.coalesce("component", "v.node").alias("c"))
+    # shingles that lead to one component only need no further comparison
+    placed = made.join(small_side(joined), "node", "left")
+    probes = placed.select(F.col("node").alias("v"), F.coalesce("component", "node").alias("c"), "n", "fold", F.explode("first").alias("t"))
     open_ones = probes.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    probes = checkpointed(attach(probes, open_ones, ["t"], ["low"], "m", ["v"]).where("low IS NOT NULL").select("t", "v", "c"))
-    apart = probes.select("t", F.col("v").alias("u"), F.col("c").alias("d")).join(probes, "t").where((F.col("u.node") < F.col("v.node")) & (F.col("c") != F.col("d")))
-    return made.select("node", "fp"), links.unionByName(verified(apart.select("u", "v")))
+    open_ones = checkpointed(open_ones.select("t", "low", "m"))
+    if open_ones.limit(OPEN + 1).count() <= OPEN:
+        probes = probes.join(F.broadcast(open_ones.select("t")), "t", "left_semi")
+    else:
+        probes = attach(probes, open_ones, ["t"], ["low"], "m", ["v"]).where("low IS NOT NULL")
+    probes = checkpointed(probes.select("t", "v", "c", "n", "fold"))
+    # sets that differ in more shingles than this are less similar
+    most_apart = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("o")) + 1e-6
+    apart = probes.select("t", F.col("v").alias("u"), F.col("c").alias("d"), F.col("n").alias("o"), F.col("fold").alias("other")).join(probes, "t").where("u < v AND c <> d")
+    apart = apart.where(F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9).where(F.bit_count(F.col("fold").bitwiseXOR(F.col("other"))) <= most_apart)
+    apart = checkpointed(apart.select("u", "v", "o", "n").distinct())
+    ends = checkpointed(apart.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    odd = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = beside(apart, made.join(small_side(ends), "node", "left_semi"), "odd").where(odd <= most_apart).select("u", "v")
+    return made.select("node", "fp"), links.unionByName(verified(checkpointed(apart)))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, similarity: float) -> DataFrame:
@@ -323,9 +361,9 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dis
     """id_col, fingerprint (16 hex digits) and component_id for every row.
 
     Without similarity, fingerprints within distance bits are linked. With it,
-    texts are whose sets of shingles have that Jaccard similarity at least;
-    fingerprints are then over distinct shingles, and pairs of FEW or more
-    shingles that differ in more than distance bits are not compared.
+    texts are whose sets of shingles have that Jaccard similarity at least, all of
+    them; fingerprints are then over distinct shingles, and distance only says
+    which pairs are compared first.
 
     Defined results: a null or blank text has fingerprint zero and links like
     any other; with fewer words than a shingle the whole sequence is one

@@ -194,3 +194,22 @@ def test_similarity_edge_cases(spark):
     got = [(r.doc_id, r.component_id) for r in S.simhash(df, shingle=5, similarity=0.8).collect()]
     assert sorted(got, key=str) == sorted([(3, 1), (1, 1), (None, 1), (2, 2), (4, 2), (3, 1)], key=str)
     assert S.simhash_dedup(df.limit(0), shingle=5, similarity=0.8).collect() == []
+
+
+def test_similarity_whatever_the_fingerprints(spark):
+    """No pair is left out for its fingerprints, nor for the probes looked at first."""
+    rows = similar_texts()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in S.simhash(df, distance=0, shingle=5, similarity=0.8).collect()}
+    assert got == by_similarity(rows)
+    none = np.array([], np.int64)
+    assert len(S._probes(np.arange(1000), none, none, 0.8)[0]) == 201
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (0, 5, 300, 5000):
+        both, a, b = (rng.integers(-(2**63), 2**63, size=k) for k in (n, n // 5, n // 7))
+        x, y = S.parities(np.concatenate((both, a))), S.parities(np.concatenate((both, b)))
+        apart = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        assert apart <= len(a) + len(b) and (n == 0 or n == 5000 or apart > 0)
