@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, attach, checkpointed, quoted, small_side, unused
+from .common import LOWER, UPPER, attach, checkpointed, quoted, release, small_side, unused
 from .components import components
 
 OUT = ("fingerprint", "component_id")
@@ -29,6 +30,8 @@ ORDER_SHARE, SMALL, COMMON = 8, 4096, 1 << 18
 PROBES = 24
 #: Bits of a set's parities, and open shingles that may be broadcast.
 PARITIES, OPEN = 2048, 1 << 18
+#: Bits a shingle in a bitmap of shingles, and bits that a bitmap has at most (16 MB).
+SPARSE, BITMAP = 16, 1 << 27
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -251,6 +254,42 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def least_shared(n: Column, o: Column, similarity: float) -> Column:
+    """How many shingles of their prefixes two similar sets of n and o shingles
+    share at least. Of the set whose prefix ends first, in the order of all, a
+    shingle of the prefix that isn't in the other prefix isn't in the other set
+    at all: the sets share no more than their prefixes do and what follows it."""
+    both = F.ceil(similarity / (1 + similarity) * (n + o) - 1e-6)
+    return both - F.ceil(similarity * F.greatest(n, o) - 1e-9) + 1
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """rows (checkpointed), one for each node; only those that repeat are shuffled."""
+    again = checkpointed(rows.groupBy("node").count().where("count > 1").select("node"))
+    if again.isEmpty():
+        return rows
+    again = small_side(again)
+    return checkpointed(rows.join(again, "node", "left_anti").unionByName(rows.join(again, "node", "left_semi").dropDuplicates(["node"])))
+
+
+def bitmap(tokens: DataFrame) -> np.ndarray:
+    """A bitmap (a power of two of bits, as bytes) with the bits set that tokens
+    (t: longs, checkpointed) have by _kept; BITMAP bits at most, whatever their number."""
+    bits = min(BITMAP, 1 << max(15, (SPARSE * tokens.count()).bit_length()))
+    at = F.col("t").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = tokens.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("b")).groupBy("k").agg(F.bitmap_construct_agg("b").alias("bytes"))
+    out = np.zeros(bits // 8, np.uint8)
+    for k, found in parts.toLocalIterator():
+        out[(k - 1) * len(found) : k * len(found)] = np.frombuffer(found, np.uint8)
+    return out
+
+
+def _kept(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which tokens a bitmap may have: all that it was made of, and some others."""
+    at = tokens & np.int64(8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: int) -> tuple[DataFrame, DataFrame]:
     """node, fp of texts (node, text; one node a distinct text), and u, v: links
     between nodes whose sets of shingles have at least that Jaccard similarity.
@@ -264,9 +303,12 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
     prefix), if sizes fit and, of FEW or more shingles, fingerprints are within
     distance bits: a large group of near copies needs few comparisons. What that
     leaves out is made up for: all texts in different components that share any
-    shingle of their whole prefixes meet, unless sizes or parities, which are
-    exact bounds, rule them out. All candidates are verified by their sets.
+    shingle of their whole prefixes meet, unless sizes, the number of shingles that
+    their prefixes share or parities, which are exact bounds, rule them out. All
+    candidates are verified by their sets. What a step has shuffled is released
+    before the next one.
     """
+    spark = texts.sparkSession
     hashed = lambda t: np.unique(shingles(t, shingle)).view(np.int64)
 
     def tokens(batches):
@@ -299,7 +341,8 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
             )
 
     kinds = "node bigint, fp bigint, n bigint, first array<bigint>, k int, fold bigint, odd array<bigint>"
-    made = checkpointed(texts.mapInArrow(features, kinds).dropDuplicates(["node"]))
+    made = once(checkpointed(texts.mapInArrow(features, kinds)))
+    release(spark)
     text = F.struct("node", "n", "fp")
     probes = made.select(text.alias("v"), F.explode(F.slice("first", F.lit(1), F.col("k"))).alias("t"))
     met = probes.groupBy("t").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -317,32 +360,53 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, distance: i
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v; checkpointed) that are similar."""
         wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-        sets = checkpointed(texts.join(small_side(wanted), "node", "left_semi").mapInArrow(tokens, "node bigint, tokens array<bigint>").dropDuplicates(["node"]))
+        sets = once(checkpointed(texts.join(small_side(wanted), "node", "left_semi").mapInArrow(tokens, "node bigint, tokens array<bigint>")))
+        release(spark)
         both = F.size(F.array_intersect("a", "b"))
         return checkpointed(beside(pairs, sets, "tokens").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"))
 
     stars = probes.where(F.col("u.node") != F.col("v.node")).where(fits).select(F.col("u.node").alias("u"), F.col("v.node").alias("v"))
-    links = verified(checkpointed(stars.distinct()))
+    stars = checkpointed(stars.distinct())
+    del probes, met
+    links = verified(stars)
+    release(spark)
     joined = checkpointed(components(links).where("node <> component"))
     # shingles that lead to one component only need no further comparison
     placed = made.join(small_side(joined), "node", "left")
-    probes = placed.select(F.col("node").alias("v"), F.coalesce("component", "node").alias("c"), "n", "fold", F.explode("first").alias("t"))
+    placed = placed.select(F.col("node").alias("v"), F.coalesce("component", "node").alias("c"), "n", "fold", "first")
+    probes = placed.select("c", F.explode("first").alias("t"))
     open_ones = probes.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
     open_ones = checkpointed(open_ones.select("t", "low", "m"))
+    release(spark)
+    bits = bitmap(open_ones)
+
+    def maybe_open(batches):
+        for batch in _few(batches, 4096):
+            ends, all_tokens = np.cumsum(pc.list_value_length(batch.column(4)).to_numpy()), batch.column(4).flatten().to_numpy()
+            at = np.flatnonzero(_kept(all_tokens, bits))
+            rows = pa.array(np.searchsorted(ends, at, "right"))
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:4]), pa.array(all_tokens[at], pa.int64())], names=["v", "c", "n", "fold", "t"])
+
+    probes = placed.mapInArrow(maybe_open, "v bigint, c bigint, n bigint, fold bigint, t bigint")
     if open_ones.limit(OPEN + 1).count() <= OPEN:
         probes = probes.join(F.broadcast(open_ones.select("t")), "t", "left_semi")
     else:
         probes = attach(probes, open_ones, ["t"], ["low"], "m", ["v"]).where("low IS NOT NULL")
     probes = checkpointed(probes.select("t", "v", "c", "n", "fold"))
+    release(spark)
     # sets that differ in more shingles than this are less similar
     most_apart = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("o")) + 1e-6
     apart = probes.select("t", F.col("v").alias("u"), F.col("c").alias("d"), F.col("n").alias("o"), F.col("fold").alias("other")).join(probes, "t").where("u < v AND c <> d")
     apart = apart.where(F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9).where(F.bit_count(F.col("fold").bitwiseXOR(F.col("other"))) <= most_apart)
-    apart = checkpointed(apart.select("u", "v", "o", "n").distinct())
+    apart = apart.groupBy("u", "v", "o", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared(F.col("n"), F.col("o"), similarity))
+    apart = checkpointed(apart.select("u", "v", "o", "n"))
+    release(spark)
     ends = checkpointed(apart.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     odd = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     apart = beside(apart, made.join(small_side(ends), "node", "left_semi"), "odd").where(odd <= most_apart).select("u", "v")
-    return made.select("node", "fp"), links.unionByName(verified(checkpointed(apart)))
+    links = links.unionByName(verified(checkpointed(apart)))
+    release(spark)
+    return made.select("node", "fp"), links
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, similarity: float) -> DataFrame:

@@ -213,3 +213,63 @@ def test_parities_bound_the_difference():
         x, y = S.parities(np.concatenate((both, a))), S.parities(np.concatenate((both, b)))
         apart = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
         assert apart <= len(a) + len(b) and (n == 0 or n == 5000 or apart > 0)
+
+
+def test_prefixes_of_similar_sets_share_enough(spark):
+    """Of random sets at and about the similarity, with every order of shingles."""
+    rng, found = np.random.default_rng(6), []
+    for _ in range(3000):
+        common = np.unique(rng.integers(0, 5000, size=400))
+        seen = rng.integers(0, 4, size=len(common))
+        pool = rng.permutation(5000)
+        both, a, b = rng.integers(1, 200), *rng.integers(0, 30, size=2)
+        x, y = np.sort(pool[: both + a]), np.sort(np.concatenate((pool[:both], pool[both + a : both + a + b])))
+        if both >= 0.8 * (both + a + b) - 1e-9:
+            prefixes = [S._probes(s, common, seen, 0.8)[0] for s in (x, y)]
+            found.append((len(x), len(y), len(np.intersect1d(*prefixes))))
+    df = spark.createDataFrame([tuple(map(int, f)) for f in [*found, (0, 0, 1)]], "n bigint, o bigint, shared bigint")
+    spare = [r[0] for r in df.select(F.col("shared") - S.least_shared(F.col("n"), F.col("o"), 0.8)).collect()]
+    assert len(spare) > 1000 and min(spare) == 0
+
+
+def test_bitmap_leaves_out_no_shingle(spark):
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5000):
+        some = np.unique(rng.integers(-(2**63), 2**63 - 1, size=n))
+        bits = S.bitmap(spark.createDataFrame([(int(t),) for t in some], "t bigint"))
+        others = rng.integers(-(2**63), 2**63 - 1, size=100_000)
+        assert S._kept(some, bits).all() and S._kept(others, bits).mean() < 0.08
+
+
+def test_similarity_with_many_open_shingles_and_repeats(spark, monkeypatch):
+    """Open shingles found by a shuffle, a bitmap with most bits set, repeated rows."""
+    monkeypatch.setattr(S, "OPEN", 0)
+    monkeypatch.setattr(S, "SPARSE", 0)
+    rows = similar_texts()
+    rows += [(len(rows) + i, t) for i, t in rows[::7]] + [(5000 + i, rows[3][1]) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in S.simhash(df, distance=0, shingle=5, similarity=0.8).collect()}
+    assert got == by_similarity(rows)
+
+
+def shuffled(spark):
+    """MB that all stages so far have shuffled."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_similarity_shuffles_little(spark, monkeypatch):
+    """Texts that share a passage each with another one: neither their features nor
+    the shingles that nothing shares go through a shuffle again."""
+    monkeypatch.setattr(S, "OPEN", 0)
+    rng, rows = random.Random(8), []
+    for i in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        if i % 2:
+            words[:60] = rows[-1][1].split()[:60]
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).createOrReplaceTempView("rows")
+    df = S.checkpointed(spark.table("rows"))
+    before = shuffled(spark)
+    assert S.simhash_dedup(df, distance=26, shingle=5, similarity=0.8).count() == len(rows)
+    assert shuffled(spark) - before < 15.5
